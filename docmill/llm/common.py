@@ -88,7 +88,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def constants(seed: int, n: int) -> np.ndarray:
     """n odd 64-bit constants that depend on the seed alone."""
-    return mix(np.arange(1, n + 1, dtype=U) + U(seed) * U(0x632BE59BD9B4E019)) | U(1)
+    return mix(np.arange(1, n + 1, dtype=U) + U(seed * 0x632BE59BD9B4E019 % 2**64)) | U(1)
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from docmill.llm import bpe, langid
+from docmill.llm import bpe, langid, neardup
 
 
 def queries() -> dict:
     return {
+        "op3_near_duplicates": neardup.op3_near_duplicates,
         "op4_bpe": bpe.op4_bpe,
         "op7_language_id": langid.op7_language_id,
     }
