@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from docmill.llm import bpe, langid, neardup
+from docmill.llm import bpe, langid, neardup, pii, warc
 
 
 def queries() -> dict:
     return {
+        "op1_warc": warc.op1_warc,
         "op3_near_duplicates": neardup.op3_near_duplicates,
         "op4_bpe": bpe.op4_bpe,
         "op7_language_id": langid.op7_language_id,
+        "op8_pii": pii.op8_pii,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_warc": warc.OP1_SQL}
