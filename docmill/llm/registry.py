@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from docmill.llm import bpe, langid, neardup, pii, warc
+from docmill.llm import bpe, chat, langid, neardup, pii, topk, warc
 
 
 def queries() -> dict:
     return {
         "op1_warc": warc.op1_warc,
+        "op2_chat": chat.op2_chat,
         "op3_near_duplicates": neardup.op3_near_duplicates,
         "op4_bpe": bpe.op4_bpe,
+        "op6_topk": topk.op6_topk,
         "op7_language_id": langid.op7_language_id,
         "op8_pii": pii.op8_pii,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": warc.OP1_SQL}
+    return {"op1_warc": warc.OP1_SQL, "op2_chat": chat.OP2_SQL, "op6_topk": topk.OP6_SQL}
