@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm.common import column, partitions, stage, utf8
+from docmill.llm.common import column, partitions, release, stage, utf8
 from docmill.llm.graph import components
 
 #: Members of a mixed bucket that meet in one block.
@@ -108,6 +108,7 @@ def link(keys: DataFrame, signed: DataFrame, verify: Verify, size: int, distance
     spark = keys.sparkSession
     groups = keys.groupBy("key").agg(F.min("id").alias("low"), F.count("*").alias("n")).where("n > 1")
     shared = stage(keys.join(groups, "key"), "buckets")
+    release(spark)
     star = shared.where("id != low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
     first = stage(verify(close(star, signed, size, distance)), "links")
     found = components(first)

@@ -94,12 +94,7 @@ def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             more, at = utf8(column(rows, "text_b"))
             h1, n1 = shingles.distinct(*_shingled(data, offsets))
             h2, n2 = shingles.distinct(*_shingled(more, at))
-            owner = np.concatenate((np.repeat(np.arange(len(n1)), n1), np.repeat(np.arange(len(n2)), n2)))
-            h = np.concatenate((h1, h2))
-            order = np.lexsort((h, owner))
-            h, owner = h[order], owner[order]
-            again = np.flatnonzero((h[1:] == h[:-1]) & (owner[1:] == owner[:-1]))
-            inter = np.bincount(owner[again], minlength=len(n1))
+            inter = shingles.common(h1, n1, h2, n2)
             linked = (100 * inter >= SIMILAR * (n1 + n2 - inter)) & (n1 > 0) & (n2 > 0)
             yield rows.select(["a", "b"]).filter(pa.array(linked))
 

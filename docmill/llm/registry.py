@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docmill.llm import bpe, chat, langid, neardup, pii, topk, warc
+from docmill.llm import bpe, chat, langid, linededup, neardup, pii, topk, warc
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op6_topk": topk.op6_topk,
         "op7_language_id": langid.op7_language_id,
         "op8_pii": pii.op8_pii,
+        "op10_line_dedup": linededup.op10_line_dedup,
     }
 
 

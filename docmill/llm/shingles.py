@@ -121,3 +121,13 @@ def signatures(hashes: np.ndarray, counts: np.ndarray, size: int, seed: int = 11
             np.minimum(least[i:j, k], m, out=least[i:j, k])
     out[full] = ((least ^ (least >> np.uint32(16))) & np.uint32(0xFFFF)).astype(np.uint16)
     return out
+
+
+def common(h1: np.ndarray, n1: np.ndarray, h2: np.ndarray, n2: np.ndarray) -> np.ndarray:
+    """How many hashes the k-th sets of two lists of distinct() sets have in common."""
+    owner = np.concatenate((np.repeat(np.arange(len(n1)), n1), np.repeat(np.arange(len(n2)), n2)))
+    h = np.concatenate((h1, h2))
+    order = np.lexsort((h, owner))
+    h, owner = h[order], owner[order]
+    again = np.flatnonzero((h[1:] == h[:-1]) & (owner[1:] == owner[:-1]))
+    return np.bincount(owner[again], minlength=len(n1))
