@@ -37,7 +37,7 @@ from docmill.session import table
 
 LETTER, NUMBER, OTHER, SPACE, EDGE = range(5)
 #: Merged words kept by a worker; the cache starts anew beyond that.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 #: Words of more bytes are merged with a heap.
 SHORT = 48
 #: Above every rank.
@@ -250,15 +250,14 @@ def decode(encoded: DataFrame, ranks: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
-        for batch in batches:
-            raw, at = utf8(column(batch, "ids"))
-            begun, _ = utf8(column(batch, "starts"))
-            ids, counts = raw.view("<u4").astype(np.int64), np.diff(at) // 4
+        for rows, raw, at in texts(batches, "ids"):
+            begun, _ = utf8(column(rows, "starts"))
+            ids, counts = raw.view("<u4"), np.diff(at) // 4
             data, offsets = own.decode(ids, counts)
             width = own.size[ids]
             if not np.array_equal(np.cumsum(width) - width - np.repeat(offsets[:-1], counts), begun.view("<u4")):
                 raise ValueError("token offsets do not belong to these ids")
-            yield pa.RecordBatch.from_arrays([*batch.columns, as_binary(data, offsets)], names=[*batch.schema.names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*rows.columns, as_binary(data, offsets)], names=[*rows.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())]))
 
