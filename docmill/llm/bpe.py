@@ -267,6 +267,12 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(docs)
 
 
+def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: the ids of every text, and digests of both directions."""
+    out = decode(encode(docs, "doc_id", "text"))
+    return out.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def digests(docs: DataFrame) -> DataFrame:
     """Round trip of every text, as counts and digests."""
     out = decode(encode(docs, "doc_id", "text"))
