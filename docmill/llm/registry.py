@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docmill.llm import bpe, chat, langid, linededup, neardup, pii, topk, warc
+from docmill.llm import bpe, chat, decontam, langid, linededup, neardup, pii, substrings, topk, warc
 
 
 def queries() -> dict:
@@ -11,9 +11,11 @@ def queries() -> dict:
         "op2_chat": chat.op2_chat,
         "op3_near_duplicates": neardup.op3_near_duplicates,
         "op4_bpe": bpe.op4_bpe,
+        "op5_decontamination": decontam.op5_decontamination,
         "op6_topk": topk.op6_topk,
         "op7_language_id": langid.op7_language_id,
         "op8_pii": pii.op8_pii,
+        "op9_repeats": substrings.op9_repeats,
         "op10_line_dedup": linededup.op10_line_dedup,
     }
 

@@ -9,6 +9,8 @@ from docmill.llm.common import U, constants, mix
 #: Words of a shingle.
 WORDS = 5
 
+#: Bytes of plain words: digits, letters and all that is not ASCII.
+_PLAIN = np.array([chr(b).isalnum() or b > 127 for b in range(256)])
 _POWER = [np.ones(1, U)]
 
 
@@ -26,13 +28,14 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return data + (((data >= 65) & (data <= 90)).astype(np.uint8) << 5)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, plain: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """A 64-bit hash of each word, how many each text has, and where words begin and end.
 
     A word is a run of bytes other than blank and 0x09 to 0x0D; A-Z count as a-z.
+    plain: punctuation ends words too.
     """
     n = len(offsets) - 1
-    solid = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    solid = _PLAIN[data] if plain else ~((data == 32) | ((data >= 9) & (data <= 13)))
     opens = solid.copy()
     opens[1:] &= ~solid[:-1]
     inner = offsets[(offsets > 0) & (offsets < len(data))]
@@ -44,7 +47,11 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     shut[:-1] = solid[:-1] & (~solid[1:] | opens[1:])
     shut[-1] = solid[-1]
     end = np.flatnonzero(shut) + 1
-    low = lower_ascii(data).astype(U) + U(1)
+    low = lower_ascii(data)
+    if plain:  # the accented capitals of Latin-1 too: 0xC3 0x80 to 0x9E, but the times sign
+        wide = np.flatnonzero((data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97) & (data[:-1] == 0xC3)) + 1
+        low[wide] += np.uint8(32)
+    low = low.astype(U) + U(1)
     place = np.arange(len(data)) - np.repeat(begin, np.diff(np.append(begin, len(data)))) if begin[0] == 0 else None
     if place is None:
         place = np.empty(len(data), np.int64)
