@@ -1,0 +1,244 @@
+"""Operators on small tables: odd rows, and whole results against brute force."""
+
+import hashlib
+import os
+import random
+import re
+import zlib
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from docmill.llm import bpe, chat, decontam, langid, linededup, neardup, pii, registry, substrings, topk, warc
+
+DATA = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, sig string, key long, gone string"
+
+WORDS = [a + b for a in ("ba", "ke", "li", "mo", "tu") for b in ("ran", "sed", "tin", "lop", "muk", "", "x", "ye")]
+
+
+def prose(seed: int, n: int) -> str:
+    rnd = random.Random(seed)
+    return " ".join(rnd.choice(WORDS) for _ in range(n))
+
+
+def odd_rows():
+    """Nulls, empty, blank, very long and repeated texts; copies and near copies; a column that clashes."""
+    base = prose(1, 120)
+    near = base.split()
+    near[60] = "changed"
+    texts = [(0, base), (1, None), (2, ""), (3, " \n\t "), (4, base), (5, " ".join(near)), (6, prose(2, 9000)), (7, "one two"), (8, "one two"), (None, base), (9, "x"), (9, "x"), (10, prose(3, 60) + "\n" + base), (11, "é" * 300), (12, "aaaa " * 400)]
+    return [(i, t, None if k % 3 else "en", None, None if t is None else len(t), "clash", k, None) for k, (i, t) in enumerate(texts)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(odd_rows(), DOCS)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def text_of(rows):
+    return [(r["doc_id"], r["text"]) for r in rows.collect()]
+
+
+def brute_components(rows):
+    sets = {}
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in t or ""))
+        sets.setdefault(i, set()).update({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else [tuple(w)] if w else [])
+    root = {i: i for i in sets if i is not None}
+    for a in sorted(root):
+        for b in sorted(root):
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = root[a], root[b]
+                root = {k: min(x, y) if v in (x, y) else v for k, v in root.items()}
+    return sets, root
+
+
+def test_near_duplicates(docs, none):
+    got = {r["doc_id"]: r for r in neardup.near_duplicates(docs).collect()}
+    sets, root = brute_components(text_of(docs))
+    for i, r in root.items():
+        assert (got[i]["n_shingles"], got[i]["component_id"], got[i]["kept"]) == (len(sets[i]), r, r == i)
+    assert got[None]["component_id"] is None and got[None]["kept"] and neardup.near_duplicates(docs).count() == len(odd_rows())
+    assert neardup.near_duplicates(none).count() == 0
+
+
+def brute_repeats(rows):
+    first = {}
+    for i, t in rows:
+        b = (t or "").encode()
+        for k in range(len(b) - 49):
+            w = b[k : k + 50]
+            if i is not None:
+                first[w] = min(i, first.get(w, i))
+    out = []
+    for i, t in rows:
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for k in range(len(b) - 49):
+            if i is not None and first[b[k : k + 50]] < i:
+                gone[k : k + 50] = b"\1" * 50
+        spans = sum(1 for k in range(len(b)) if gone[k] and (k == 0 or not gone[k - 1]))
+        out.append((i, len(b), sum(gone), spans, bytes(c for c, g in zip(b, gone, strict=True) if not g)))
+    return Counter(out)
+
+
+def test_substrings(docs, none, spark):
+    got = Counter(tuple(bytes(x) if isinstance(x, bytearray) else x for x in r) for r in substrings.remove_repeats(docs).collect())
+    assert got == brute_repeats(text_of(docs))
+    assert substrings.remove_repeats(none).count() == 0
+    clash = spark.createDataFrame([(1, prose(5, 40)), (2, prose(5, 40)), (2, prose(6, 40))], "doc_id long, text string")
+    out = substrings.remove_repeats(clash).collect()
+    assert len(out) == 3 and sum(r["n_removed"] > 0 for r in out) <= 1
+
+
+def brute_lines(rows):
+    low = lambda b: bytes(c + 32 if 65 <= c <= 90 else c for c in b)
+    occ = [(i, j, low(x.strip(" \t\n\r\x0b\x0c").encode())) for i, t in rows if i is not None and t for j, x in enumerate(t.split("\n"))]
+    occ = [x for x in occ if len(x[2]) >= linededup.MIN_BYTES]
+    keys = sorted({s for _, _, s in occ})
+    sets = {s: {s[k : k + 8] for k in range(len(s) - 7)} for s in keys}
+    root = {s: s for s in keys}
+    for a in keys:
+        for b in keys:
+            if a < b and 100 * len(sets[a] & sets[b]) >= linededup.SIMILAR * len(sets[a] | sets[b]):
+                x, y = root[a], root[b]
+                root = {k: x if v == y else v for k, v in root.items()}
+    keep = {}
+    for i, j, s in occ:
+        keep[root[s]] = min(keep.get(root[s], (i, j)), (i, j))
+    gone = {(i, j) for i, j, s in occ if keep[root[s]] != (i, j)}
+    return Counter((i, len(t.split("\n")) if t is not None else 0, len({j for j in range(len((t or "").split("\n"))) if (i, j) in gone}), None if t is None else "\n".join(x for j, x in enumerate(t.split("\n")) if (i, j) not in gone)) for i, t in rows)
+
+
+def test_lines(docs, none, spark):
+    said = "Licensed under the public licence, version 2.0 of the year."
+    rows = [(20, said + "\nshort\n" + prose(8, 12)), (21, "short\n" + said + "\n"), (22, said.replace("public", "publik")), (23, "short")]
+    more = docs.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter(map(tuple, linededup.dedup_lines(more).collect())) == brute_lines(text_of(more))
+    assert linededup.dedup_lines(none).count() == 0
+    kept = linededup.drop_lines(spark, docs, "")
+    assert kept.columns == docs.columns and kept.where("sig = 'clash'").count() == kept.count()
+
+
+def test_bpe(docs, none):
+    pytest.importorskip("tiktoken")
+    out = bpe.decode(bpe.encode(docs, "doc_id", "text")).collect()
+    assert Counter((r["doc_id"], bytes(r["decoded"])) for r in out) == Counter((i, (t or "").encode()) for i, t in text_of(docs))
+    assert bpe.digests(none).count() == 0
+
+
+def test_language_id(docs, none, spark):
+    got = {r["doc_id"]: r for r in langid.identify(docs).collect()}
+    assert got[1]["lang_pred"] == got[2]["lang_pred"] == got[3]["lang_pred"] == "und" and all(0 <= r["score"] <= 1 for r in got.values())
+    assert all(r["held_out"] == (zlib.crc32(("" if i is None else str(i)).encode()) % 4 == 2) for i, r in got.items())
+    assert langid.identify(none).count() == 0
+    kept = langid.keep_identified(spark, docs, "")
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()}.isdisjoint({1, 2, 3})
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no driver tables here")
+def test_language_id_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out AND lang_pred <> 'und'")
+    assert out.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] > 0.97
+
+
+def test_decontamination(docs, none, spark):
+    item = prose(40, 30)
+    edited = item.split()
+    edited[5], edited[15] = "other", "words"
+    rows = [(100, prose(41, 50) + " " + item.upper() + ". " + prose(42, 50)), (101, prose(43, 200)), (102, " ".join(edited))]
+    more = docs.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    bench = spark.createDataFrame([(1, item), (2, None), (None, item), (3, ""), (4, prose(44, 30)), (5, "one two")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontam.contaminated(more, bench).collect()}
+    assert got[(100, 1)] == 1.0 and 0.5 <= got[(102, 1)] < 1 and set(got) == {(100, 1), (102, 1), (7, 5), (8, 5)}
+    assert decontam.contaminated(none, bench).count() == 0 and decontam.contaminated(more, bench.limit(0)).count() == 0
+
+
+def test_pii(docs, none, spark):
+    rows = spark.createDataFrame([(1, "mail a.b@x.org"), (2, "again a.b@x.org"), (3, None), (4, "")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.pseudonymise(rows, "doc_id", "text").collect()}
+    assert got[1]["findings"][0]["pseudonym"] == got[2]["findings"][0]["pseudonym"] and got[3]["text"] is None and got[4]["text"] == ""
+    assert Counter(r["text"] for r in pii.pseudonymise(docs, "doc_id", "text").collect()) == Counter(t for _, t in text_of(docs))
+    assert pii.pseudonymise(none, "doc_id", "text").count() == 0
+
+
+def test_warc(spark, tmp_path):
+    rows = [(1, "u", "<p>a"), (2, None, "<p>a"), (3, "u", None), (None, "u", ""), (4, "u", "b" * 100_000), (4, "u", "b" * 100_000), (5, "u", "<p>a")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("clash"))
+    back = warc.read(warc.write(warc.marked(pages), str(tmp_path / "w"))).collect()
+    got = Counter((warc.page_of(r["record_id"]), r["type"], r["payload_bytes"], r["payload_digest"]) for r in back)
+    sha = lambda s: warc.base32_sha1(s.encode())
+    assert got == Counter([(1, "response", 4, sha("<p>a")), (2, "revisit", 4, sha("<p>a")), (5, "revisit", 4, sha("<p>a")), (3, "response", 0, sha("")), (None, "revisit", 0, sha("")), (4, "response", 100_000, sha("b" * 100_000)), (4, "response", 100_000, sha("b" * 100_000))])
+    assert all(r["valid"] for r in back) and warc.archives(spark, str(tmp_path / "w")).count() >= 1
+    assert warc.read(warc.write(warc.marked(pages.limit(0)), str(tmp_path / "e"))).count() == 0
+
+
+def test_chat(spark, monkeypatch):
+    pytest.importorskip("public_tokenizers")
+    rows = [(1, 0, "user", "hi \\ there"), (1, 1, "assistant", "ok </s>"), (1, 2, "assistant", None), (1, None, None, "first"), (None, 0, "assistant", "x\n"), (2, 1, "user", ""), (2, 1, "user", "")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("loss", F.lit("clash"))
+    got = {r["conv_id"]: r for r in chat.digests(chat.format_chats(df)).collect()}
+    want = {1: [("", "first"), ("user", "hi \\ there"), ("assistant", "ok </s>"), ("assistant", "")], None: [("assistant", "x\n")], 2: [("user", ""), ("user", "")]}
+    for conv, turns in want.items():
+        said = "".join(t for r, t in turns if r == "assistant")
+        assert got[conv]["n_turns"] == len(turns) and got[conv]["loss_chars"] == len(said)
+        assert got[conv]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
+        assert got[conv]["loss_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+        assert got[conv]["formatted_chars"] == len(chat.render(turns)[0])
+    assert chat.digests(chat.format_chats(df.limit(0))).count() == 0
+
+
+def test_top_k(spark):
+    rnd = random.Random(1)
+    rows = [(i, [rnd.uniform(-1, 1) for _ in range(4)]) for i in range(300)] + [(300 + i, [0.5, 0.5, 0.5, 0.5]) for i in range(60)] + [(400, None), (450, []), (451, [1.0, None, 0.0, 0.0]), (452, [float("nan")] * 4), (453, [float("inf")] * 4), (None, [1.0] * 4), (500, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("id", F.lit("clash"))
+    import math
+    import struct
+
+    single = lambda x: struct.unpack("f", struct.pack("f", x))[0]
+    fine = {i: [math.floor(256 * single(x)) for x in v] for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)}
+    want = set()
+    for q in (i for i in fine if i % 50 == 0):
+        best = sorted(((-sum(a * b for a, b in zip(fine[q], v, strict=True)), i) for i, v in fine.items() if i != q and len(v) == len(fine[q])))[:5]
+        want |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(best)}
+    got = topk.top_k(df, lambda c: c % 50 == 0, "vec_id", "embedding", shard=100)
+    assert {tuple(r) for r in got.collect()} == want
+    assert topk.top_k(df.limit(0), lambda c: c % 50 == 0, "vec_id", "embedding").count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no driver tables here")
+@pytest.mark.parametrize("name", list(registry.oracle_sql()))
+def test_queries_equal_their_sql(spark, tmp_path, name):
+    import duckdb
+
+    registry.queries()[name](spark, DATA).write.parquet(str(tmp_path / "o"))
+    db = duckdb.connect()
+    for f in os.listdir(DATA):
+        db.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{DATA}/{f}'")
+    db.execute(f"CREATE TABLE o AS {registry.oracle_sql()[name]}")
+    cols = ", ".join(f'"{x[0]}"' for x in db.execute("SELECT * FROM o").description)
+    here, there = f"SELECT {cols} FROM '{tmp_path}/o/*.parquet'", f"SELECT {cols} FROM o"
+    assert db.execute(f"({here}) EXCEPT ALL ({there})").fetchall() == [] == db.execute(f"({there}) EXCEPT ALL ({here})").fetchall()
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no driver tables here")
+def test_pipeline_stages(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    for k, (_, step) in enumerate(corpus_pipeline.STAGES):
+        out = step(spark, docs, DATA)
+        if k < len(corpus_pipeline.STAGES) - 1:
+            assert out.columns == docs.columns
+        out.write.parquet(str(tmp_path / str(k)))
+        before, docs = docs.count(), spark.read.parquet(str(tmp_path / str(k)))
+        assert 0 < docs.count() <= before
+    assert docs.where("n_tokens > 0").count() > 0
