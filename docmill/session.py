@@ -35,6 +35,9 @@ def prepare(spark: SparkSession) -> SparkSession:
     On a cluster the package is installed on the workers or given with --py-files;
     an entry on the path that does not exist there does no harm.
     """
+    # A union that claims its inputs' partitioning fails where adaptive execution gives them
+    # different numbers of partitions ("Can't zip RDDs with unequal numbers of partitions").
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
