@@ -1,11 +1,13 @@
 """Components of rows that share buckets, without listing all pairs within a bucket.
 
-Every bucket first links its members to its smallest one. Links that verify() confirms
-are joined into components. Only buckets that then still hold several components are
-looked at again: their members meet in blocks of bounded size, and pairs of different
-components whose signatures are close enough are verified as well. So every pair that
-shares a bucket is either within one component or has been tested; a bucket of any size
-that forms one component costs one test per member.
+Every bucket first links its members to its smallest one, as a join. Links that hold on
+the full sets are joined into components. Only buckets that then still hold several
+components are looked at again: their members meet, with their texts, in blocks of
+bounded size, and a task tests the pairs of different components whose signatures are
+close enough, each pair in the first bucket that it shares. Pairs never become rows; only
+links leave a task. So every pair that shares a bucket is either within one component or
+has been tested, and a bucket of any size that forms one component costs one test per
+member.
 """
 
 from __future__ import annotations
@@ -17,15 +19,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm.common import column, partitions, release, stage, utf8
+from docmill.llm import shingles
+from docmill.llm.common import column, partitions, release, stage, texts, utf8
 from docmill.llm.graph import components
 
 #: Members of a mixed bucket that meet in one block.
-BLOCK = 1000
-#: Rows that a worker holds at once while it compares members.
-ROWS = 20_000
+BLOCK = 500
+#: Bytes of texts that a worker holds at once while it compares members.
+HELD = 4 << 20
 
-Verify = Callable[[DataFrame], DataFrame]
+#: From texts (bytes and offsets) to their distinct hashes and how many each has.
+Sets = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+FirstKey = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
 def _matrix(values: pa.Array, n: int, size: int) -> np.ndarray:
@@ -47,18 +52,48 @@ def close(pairs: DataFrame, signed: DataFrame, size: int, distance: int) -> Data
     return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a long, b long")
 
 
-def _meet(size: int, distance: int):
-    """Compares the members of each (key, i, j), rows sorted by it; yields close pairs of different components."""
+def confirm(pairs: DataFrame, said: DataFrame, sets: Sets, similar: int) -> DataFrame:
+    """Of pairs (a, b), those with 100 * intersection >= similar * union. said: (id, said)."""
+    both = pairs.join(said.toDF("a", "said_a"), "a").join(said.toDF("b", "said_b"), "b")
 
-    def compare(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-        x = pa.Table.from_batches(rows).combine_chunks()
-        get = lambda c: x.column(c).to_numpy()
-        ident, comp, block, low, i, j = (get(c) for c in ("id", "comp", "block", "low", "i", "j"))
-        key = get("key")
-        sig = _matrix(x.column("sig").combine_chunks(), len(ident), size)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, offsets in texts(batches, "said_a", 1 << 19):
+            h1, n1 = sets(data, offsets)
+            h2, n2 = sets(*utf8(column(rows, "said_b")))
+            inter = shingles.common(h1, n1, h2, n2)
+            yield rows.select(["a", "b"]).filter(pa.array((100 * inter >= similar * (n1 + n2 - inter)) & (n1 > 0) & (n2 > 0)))
+
+    return both.select("a", "b", "said_a", "said_b").mapInArrow(run, "a long, b long")
+
+
+def _linked(a: np.ndarray, b: np.ndarray, similar: int) -> bool:
+    """Whether two sorted sets are similar enough."""
+    small, large = (a, b) if len(a) <= len(b) else (b, a)
+    if not len(small) or 100 * len(small) < similar * len(large):
+        return False
+    inter = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+    return 100 * inter >= similar * (len(a) + len(b) - inter)
+
+
+def _meet(size: int, distance: int, first_key: FirstKey, sets: Sets, similar: int):
+    """Compares the members of each (key, i, j), rows sorted by it; yields links between components."""
+
+    def compare(t: pa.Table) -> pa.RecordBatch:
+        t = t.combine_chunks()
+        ident, comp, block, low, i, j, key = (t.column(c).to_numpy() for c in ("id", "comp", "block", "low", "i", "j", "key"))
+        sig = _matrix(t.column("sig").combine_chunks(), len(ident), size)
+        h, n = sets(*utf8(t.column("said")))
+        own = np.split(h, np.cumsum(n)[:-1])
         group = np.cumsum(np.append(0, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
         across = i != j
-        left, right = [], []
+        root: dict[int, int] = {}  # components joined here: no need to test within them
+
+        def find(c: int) -> int:
+            while c in root:
+                c = root[c]
+            return c
+
+        links: list[tuple[int, int]] = []
         at = np.arange(len(ident))
         for d in range(1, len(ident)):
             at = at[at + d < len(ident)]
@@ -69,65 +104,64 @@ def _meet(size: int, distance: int):
             want = (comp[p] != comp[q]) & (~across[p] | (block[p] != block[q])) & (ident[p] != low[p]) & (ident[q] != low[p])
             p, q = p[want], q[want]
             near = (sig[p] != sig[q]).sum(axis=1) <= distance
-            left.append(ident[p[near]])
-            right.append(ident[q[near]])
-        a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (left, right))
+            p, q = p[near], q[near]
+            first = first_key(sig[p], sig[q]).view(np.int64) == key[p]
+            for x, y in zip(p[first].tolist(), q[first].tolist(), strict=True):
+                c, e = find(int(comp[x])), find(int(comp[y]))
+                if c != e and _linked(own[x], own[y], similar):
+                    root[max(c, e)] = min(c, e)
+                    links.append((int(ident[x]), int(ident[y])))
+        a, b = np.array(links, np.int64).reshape(-1, 2).T
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        count = 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            count += batch.num_rows
-            if count < ROWS:
-                continue
+        for batch, _, _ in texts(batches, "said", HELD):
             # whole groups go; what has the last row's key waits for more
-            t = pa.Table.from_batches(held).combine_chunks()
+            t = pa.Table.from_batches([*held, batch]).combine_chunks()
             k, i, j = (t.column(c).to_numpy() for c in ("key", "i", "j"))
-            last = (k == k[-1]) & (i == i[-1]) & (j == j[-1])
-            cut = int(np.argmax(last))
+            cut = int(np.argmax((k == k[-1]) & (i == i[-1]) & (j == j[-1])))
             if cut:
-                yield compare(t.slice(0, cut).to_batches())
+                yield compare(t.slice(0, cut))
             held = t.slice(cut).to_batches()
-            count = len(k) - cut
         if held:
-            yield compare(held)
+            yield compare(pa.Table.from_batches(held))
 
     return run
 
 
-def link(keys: DataFrame, signed: DataFrame, verify: Verify, size: int, distance: int) -> DataFrame:
+def link(keys: DataFrame, signed: DataFrame, texts_of: Callable[[DataFrame], DataFrame], sets: Sets, similar: int, size: int, distance: int, first_key: FirstKey) -> DataFrame:
     """node and component of all rows with a confirmed link, but the smallest of each component.
 
     keys: (key, id), a row for each bucket that a row belongs to. signed: (id, sig), the
-    signature as `size` 16-bit places. verify: from pairs (a, b) to those that are links.
+    signature as `size` 16-bit places. texts_of: from ids (id) to their texts (id, said).
+    first_key: of rows of two matrices of signatures, the first key that they share.
     """
     spark = keys.sparkSession
     groups = keys.groupBy("key").agg(F.min("id").alias("low"), F.count("*").alias("n")).where("n > 1")
     shared = stage(keys.join(groups, "key"), "buckets")
     release(spark)
-    star = shared.where("id != low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
-    first = stage(verify(close(star, signed, size, distance)), "links")
-    found = components(first)
-    labels = found.select(F.col("node").alias("id"), "component")
+    said = stage(texts_of(shared.select("id").distinct()), "texts")
+    release(spark)
+    pairs = shared.where("id != low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
+    found = components(stage(confirm(close(pairs, signed, size, distance), said, sets, similar), "links"))
     # a bucket of two has had its only pair tested
+    labels = found.select(F.col("node").alias("id"), "component")
     again = shared.where("n > 2").join(labels, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
     mixed = again.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("key")
+    members = again.join(mixed, "key")
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
     rows = (
-        again.join(mixed, "key")
-        .withColumn("block", F.pmod(F.xxhash64("id"), parts).cast("int"))
+        members.withColumn("block", F.pmod(F.xxhash64("id"), parts).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
         .select("key", "id", "comp", "low", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
         .join(signed, "id")
-        .select("key", "i", "j", "id", "comp", "low", "block", "sig")
+        .join(said, "id")
+        .select("key", "i", "j", "id", "comp", "low", "block", "sig", "said")
     )
     met = rows.repartition(partitions(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    more = met.mapInArrow(_meet(size, distance), "a long, b long").distinct()
-    second = stage(verify(more), "links")
-    if second.isEmpty():
+    more = stage(met.mapInArrow(_meet(size, distance, first_key, sets, similar), "a long, b long"), "links")
+    release(spark)
+    if more.isEmpty():
         return found
-    return components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second.select("a", "b")))
+    return components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))

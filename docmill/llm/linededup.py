@@ -134,38 +134,42 @@ def band_keys(signed: DataFrame) -> DataFrame:
             if n:
                 data, _ = utf8(column(batch, "sig"))
                 bands = np.ascontiguousarray(data).view(U).reshape(n, BANDS)
-                keys = mix(bands + np.arange(1, BANDS + 1, dtype=U) * U(0xE7037ED1A0B428DB))
+                keys = _keys(bands, np.arange(BANDS))
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(column(batch, "id").to_numpy(), BANDS))], names=["key", "id"])
 
     return signed.mapInArrow(run, "key long, id long")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of pairs (a, b) of line digests, those whose shingle sets are similar enough."""
+def _keys(bands: np.ndarray, which: np.ndarray) -> np.ndarray:
+    return mix(bands + (which + 1).astype(U) * U(0xE7037ED1A0B428DB))
 
-    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def first_key(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The key of the first band that signatures share."""
+    n = len(p)
+    a, b = (np.ascontiguousarray(x).view(U).reshape(n, BANDS) for x in (p, q))
+    which = (a == b).argmax(axis=1)
+    return _keys(a[np.arange(n), which], which)
+
+
+def distinct_lines(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, said): the bytes of the lines with these digests."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, data, offsets in texts(batches, "text"):
             _, _, a, b, low, h = _eligible(data, offsets)
             h, which = np.unique(h, return_index=True)
             flat, counts = _ranges(a[which], b[which] - a[which])
-            yield pa.RecordBatch.from_arrays([pa.array(h), as_binary(low[flat], np.concatenate(([0], np.cumsum(counts))))], names=["h", "said"])
-
-    said = docs.where("doc_id IS NOT NULL").select("text").mapInArrow(lines, "h long, said binary").groupBy("h").agg(F.first("said").alias("said"))
-    both = pairs.join(said.toDF("a", "said_a"), "a").join(said.toDF("b", "said_b"), "b")
+            yield pa.RecordBatch.from_arrays([pa.array(h), as_binary(low[flat], np.concatenate(([0], np.cumsum(counts))))], names=["id", "said"])
 
-    def sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        counts = np.maximum(np.diff(offsets) - GRAM + 1, 0)
-        flat, _ = _ranges(offsets[:-1], counts)
-        return shingles.distinct(grams(data)[flat], counts)
+    said = docs.where("doc_id IS NOT NULL").select("text").mapInArrow(run, "id long, said binary")
+    return said.groupBy("id").agg(F.first("said").alias("said")).join(ids, "id", "left_semi")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in texts(batches, "said_a", 1 << 19):
-            h1, n1 = sets(data, offsets)
-            h2, n2 = sets(*utf8(column(rows, "said_b")))
-            inter = shingles.common(h1, n1, h2, n2)
-            yield rows.select(["a", "b"]).filter(pa.array(100 * inter >= SIMILAR * (n1 + n2 - inter)))
 
-    return both.select("a", "b", "said_a", "said_b").mapInArrow(run, "a long, b long")
+def _sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    counts = np.maximum(np.diff(offsets) - GRAM + 1, 0)
+    flat, _ = _ranges(offsets[:-1], counts)
+    return shingles.distinct(grams(data)[flat], counts)
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
@@ -173,7 +177,8 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     signed = stage(signed_lines(docs), "lines")
     release(spark)
-    found = link(band_keys(signed), signed, lambda pairs: confirm(pairs, docs), BANDS * ROWS, DISTANCE)
+
+    found = link(band_keys(signed), signed, lambda ids: distinct_lines(docs, ids), _sets, SIMILAR, BANDS * ROWS, DISTANCE, first_key)
     release(spark)
     occ = occurrences(docs)
     distinct = occ.groupBy("h").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"))

@@ -42,13 +42,16 @@ def _shingled(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return shingles.shingle_hashes(words, counts)
 
 
+def _sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return shingles.distinct(*_shingled(data, offsets))
+
+
 def features(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, a 128-bit digest (h1, h2) of the set and its signature sig."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in texts(batches, "text"):
-            h, n = _shingled(data, offsets)
-            h, n = shingles.distinct(h, n)
+            h, n = _sets(data, offsets)
             owner = np.repeat(np.arange(len(n)), n)
             h1, h2 = np.zeros(len(n), U), np.zeros(len(n), U)
             np.add.at(h1, owner, mix(h + U(1)))
@@ -60,6 +63,31 @@ def features(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, sig binary")
 
 
+def _key(sig: np.ndarray, chunk: np.ndarray | int, out: int) -> np.ndarray:
+    """The key of each signature's chunk without the place `out`."""
+    n = len(sig)
+    c = np.broadcast_to(np.asarray(chunk) * CHUNK, n)
+    k = (c + out).astype(U)
+    for p in range(CHUNK):
+        if p != out:
+            k = k << U(16) | sig[np.arange(n), c + p].astype(U)
+    return mix(k)
+
+
+def first_key(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The first key that signatures share: of the first chunk with at most one difference."""
+    n = len(p)
+    same = (p == q).reshape(n, PLACES // CHUNK, CHUNK)
+    chunk = (same.sum(axis=2) >= CHUNK - 1).argmax(axis=1)
+    own = same[np.arange(n), chunk]
+    out = np.where(own.all(axis=1), 0, (~own).argmax(axis=1))
+    keys = np.zeros(n, U)
+    for o in range(CHUNK):
+        which = out == o
+        keys[which] = _key(p[which], chunk[which], o)
+    return keys
+
+
 def index_keys(signed: DataFrame) -> DataFrame:
     """(key, id): for each chunk of a signature, one key for each place that may differ."""
 
@@ -69,45 +97,25 @@ def index_keys(signed: DataFrame) -> DataFrame:
             if not n:
                 continue
             data, _ = utf8(column(batch, "sig"))
-            sig = data.view(np.uint16).reshape(n, PLACES).astype(U)
-            keys = np.empty((n, PLACES), U)
-            for c in range(0, PLACES, CHUNK):
-                for out in range(CHUNK):
-                    k = np.full(n, c + out, U)
-                    for p in range(CHUNK):
-                        if p != out:
-                            k = k << U(16) | sig[:, c + p]
-                    keys[:, c + out] = k
+            sig = data.view(np.uint16).reshape(n, PLACES)
+            keys = np.stack([_key(sig, c, out) for c in range(PLACES // CHUNK) for out in range(CHUNK)], axis=1)
             ids = np.repeat(column(batch, "id").to_numpy(), PLACES)
-            yield pa.RecordBatch.from_arrays([pa.array(mix(keys.ravel()).view(np.int64)), pa.array(ids)], names=["key", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(ids)], names=["key", "id"])
 
     return signed.mapInArrow(run, "key long, id long")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of pairs (a, b), those whose full shingle sets are similar enough."""
-    slim = docs.select("doc_id", "text")
-    both = pairs.join(slim.toDF("a", "text_a"), "a").join(slim.toDF("b", "text_b"), "b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in texts(batches, "text_a", 1 << 19):
-            more, at = utf8(column(rows, "text_b"))
-            h1, n1 = shingles.distinct(*_shingled(data, offsets))
-            h2, n2 = shingles.distinct(*_shingled(more, at))
-            inter = shingles.common(h1, n1, h2, n2)
-            linked = (100 * inter >= SIMILAR * (n1 + n2 - inter)) & (n1 > 0) & (n2 > 0)
-            yield rows.select(["a", "b"]).filter(pa.array(linked))
-
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
-
-
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of docs."""
     own = stage(features(docs), "features")
     sets = own.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
     unique = stage(sets, "sets")
     signed = unique.select(F.col("rep").alias("id"), "sig")
-    found = link(index_keys(signed), signed, lambda pairs: confirm(pairs, docs), PLACES, DISTANCE)
+
+    def texts_of(ids: DataFrame) -> DataFrame:
+        return docs.select(F.col("doc_id").alias("id"), F.col("text").alias("said")).join(ids, "id", "left_semi")
+
+    found = link(index_keys(signed), signed, texts_of, _sets, SIMILAR, PLACES, DISTANCE, first_key)
     roots = unique.select("h1", "h2", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("root"))
     out = own.select("doc_id", "n_shingles", "h1", "h2").join(roots, ["h1", "h2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("root"))).otherwise(F.col("doc_id"))
