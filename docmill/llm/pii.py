@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.llm.common import column, utf8
+from docmill.llm.common import column, texts
 from docmill.session import table
 
 ROUNDS = 8
@@ -243,9 +243,8 @@ def pseudonymise(df: DataFrame, id_col: str, text_col: str, key: bytes = KEY) ->
     """The id, findings (start, end, kind, pseudonym; code points) and the new text of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch, data, offsets in texts(batches, text_col, 1 << 22):
             values = column(batch, text_col)
-            data, offsets = utf8(values)
             # only texts with a digit, an @ or an assignment are looked at
             hit = ((data >= 48) & (data <= 58)) | (data == 64) | (data == 61)
             seen = np.diff(np.concatenate(([0], np.cumsum(hit)))[offsets]) > 0
