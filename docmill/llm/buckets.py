@@ -24,7 +24,7 @@ from docmill.llm.common import column, partitions, release, stage, texts, utf8
 from docmill.llm.graph import components
 
 #: Members of a mixed bucket that meet in one block.
-BLOCK = 500
+BLOCK = 1000
 #: Bytes of texts that a worker holds at once while it compares members.
 HELD = 4 << 20
 
