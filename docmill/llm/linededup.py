@@ -7,6 +7,11 @@ similarity 0.8 with a chance of 99.8 in 100. Candidates are verified by the exac
 similarity of their shingle sets, links are joined by distributed union-find, and of each
 component the line with the smallest (doc_id, line number) stays.
 
+In a short line one word is a large share of the shingles, so lines of EDIT_BYTES bytes or
+more are also linked where they differ in one word: replaced, put in or left out, and at
+most a quarter of its line. This is exact. Such lines share their first or last half, which
+tells the few lines that can have a partner; those are met under a key for each word left out.
+
 Cases: lines under MIN_BYTES bytes, blank ones included, always stay. A null text has no
 lines and stays null. Rows with a null doc_id keep all their lines and are no one's
 original. Rows that share a doc_id share line numbers: a line number goes in all or none
@@ -25,6 +30,7 @@ from pyspark.sql import functions as F
 from docmill.llm import shingles
 from docmill.llm.buckets import link
 from docmill.llm.common import U, as_binary, column, mix, release, stage, texts, utf8
+from docmill.llm.graph import components
 from docmill.session import table
 
 MIN_BYTES = 16
@@ -34,6 +40,11 @@ BANDS, ROWS = 12, 4
 SIMILAR = 80
 #: Places of 48 in which candidates' signatures may differ; at 0.8 a pair exceeds it once in 20,000.
 DISTANCE = 21
+#: Lines from here on are linked if they differ in one word of at most 1/EDIT_SHARE of the line.
+EDIT_BYTES, EDIT_SHARE = 48, 4
+#: The odd number whose powers weigh the words of a line, and its inverse.
+_STEP = int(shingles.powers(2)[1])
+_BACK = U(pow(_STEP, -1, 1 << 64))
 
 
 def split(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -112,7 +123,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 
 def signed_lines(docs: DataFrame) -> DataFrame:
-    """(id, sig): the digest and signature of every distinct line."""
+    """(id, sig, halves): the digest, signature and half_keys() of every distinct line."""
     size = BANDS * ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,10 +132,92 @@ def signed_lines(docs: DataFrame) -> DataFrame:
             h, which = np.unique(h, return_index=True)
             flat, counts = _ranges(a[which], b[which] - a[which] - GRAM + 1)
             sig = shingles.signatures(mix(grams(low)[flat]), counts, size)
-            yield pa.RecordBatch.from_arrays([pa.array(h), as_binary(sig.view(np.uint8).ravel(), 2 * size * np.arange(len(h) + 1))], names=["id", "sig"])
+            keys, n = half_keys(*_packed(low, a[which], b[which]))
+            halves = as_binary(keys.view(np.uint8), 8 * np.concatenate(([0], np.cumsum(n))))
+            yield pa.RecordBatch.from_arrays([pa.array(h), as_binary(sig.view(np.uint8).ravel(), 2 * size * np.arange(len(h) + 1)), halves], names=["id", "sig", "halves"])
+
+    rows = docs.where("doc_id IS NOT NULL").select("text").mapInArrow(run, "id long, sig binary, halves binary")
+    return rows.groupBy("id").agg(F.first("sig").alias("sig"), F.first("halves").alias("halves"))
+
+
+def _packed(low: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    flat, counts = _ranges(begin, end - begin)
+    return low[flat], np.concatenate(([0], np.cumsum(counts)))
+
+
+def _words(data: np.ndarray, offsets: np.ndarray):
+    """Of lines: counts of words and where each one's begin; of words: owner, number, size, sum of the weighted hashes before it."""
+    h, n, begin, end = shingles.word_hashes(data, offsets)
+    first = np.cumsum(n) - n
+    owner = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(h)) - first[owner]
+    x = h * shingles.powers(int(n.max(initial=0)) + 1)[place]
+    sums = np.concatenate((np.zeros(1, U), np.cumsum(x, dtype=U)))
+    return n, first, owner, place, end - begin, sums
+
+
+def half_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Digests of halves of each line and how many it has: lines that differ in one word share one.
+
+    Of n words n // 2 at one end at least are the same; an even n can also meet n - 1 words.
+    """
+    n, first, _, _, _, sums = _words(data, offsets)
+    long = (np.diff(offsets) >= EDIT_BYTES) & (n > 0)
+    line = np.repeat(np.flatnonzero(long), 2)
+    size = n[line] // 2
+    size[1::2] -= 1
+    need = np.ones(len(line), bool)
+    need[1::2] = n[line[1::2]] % 2 == 0
+    line, size = line[need], size[need]
+    back = np.cumprod(np.concatenate((np.ones(1, U), np.full(int(n.max(initial=0)), _BACK, U))))
+    tag = mix(size.astype(U) + U(1))
+    a, z = first[line], first[line] + n[line]
+    head = mix((sums[a + size] - sums[a]) ^ tag)
+    tail = mix(((sums[z] - sums[z - size]) * back[n[line] - size]) ^ ~tag)
+    return np.stack((head, tail), axis=1).ravel(), 2 * np.bincount(line, minlength=len(n))
+
+
+def edit_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, key, whole): two lines differ in one word if they share a key of which one row is whole.
+
+    A line has for each word the key of the others with its place (whole) and without it
+    (not whole), and the key of all its words, as a line that lacks none (whole).
+    """
+    n, first, owner, place, wide, sums = _words(data, offsets)
+    size = np.diff(offsets)
+    at = np.flatnonzero((size[owner] >= EDIT_BYTES) & (EDIT_SHARE * wide <= size[owner]))
+    who = owner[at]
+    a, z = first[who], first[who] + n[who]
+    rest = (sums[at] - sums[a]) + (sums[z] - sums[at + 1]) * _BACK
+    gone = mix(rest + mix(n[who].astype(U)))
+    there = mix(gone ^ mix(place[at].astype(U) + U(0x632BE59BD9B4E019)))
+    full = np.flatnonzero((size >= EDIT_BYTES) & (n > 0))
+    own = mix((sums[first[full] + n[full]] - sums[first[full]]) + mix((n[full] + 1).astype(U)))
+    whole = np.concatenate((np.ones(len(at), bool), np.zeros(len(at), bool), np.ones(len(full), bool)))
+    return np.concatenate((who, who, full)), np.concatenate((there, gone, own)), whole
+
+
+def edited(docs: DataFrame, signed: DataFrame) -> DataFrame:
+    """(a, b): links that join all lines that differ in one word. signed: signed_lines()."""
+
+    def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = utf8(column(batch, "halves"))
+            keys = np.ascontiguousarray(data).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(column(batch, "id").to_numpy(), np.diff(offsets) // 8))], names=["key", "id"])
 
-    rows = docs.where("doc_id IS NOT NULL").select("text").mapInArrow(run, "id long, sig binary")
-    return rows.groupBy("id").agg(F.first("sig").alias("sig"))
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, offsets in texts(batches, "said"):
+            line, key, whole = edit_keys(data, offsets)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), column(rows, "id").take(pa.array(line)), pa.array(whole)], names=["key", "id", "whole"])
+
+    keys = signed.select("id", "halves").mapInArrow(halves, "key long, id long")
+    shared = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
+    some = stage(keys.join(shared, "key").select("id").distinct(), "halves")
+    release(docs.sparkSession)
+    rows = stage(distinct_lines(docs, some).mapInArrow(words, "key long, id long, whole boolean"), "edits")
+    met = rows.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("high"), F.max("whole").alias("one")).where("a < high AND one").select("key", "a")
+    return rows.join(met, "key").where("a <> id").select("a", F.col("id").alias("b")).distinct()
 
 
 def band_keys(signed: DataFrame) -> DataFrame:
@@ -175,10 +268,15 @@ def _sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def removed_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, removed): the sorted numbers of the lines that go, for documents that lose any."""
     spark = docs.sparkSession
-    signed = stage(signed_lines(docs), "lines")
+    lines = stage(signed_lines(docs), "lines")
+    release(spark)
+    signed = lines.select("id", "sig")
+    edits = stage(edited(docs, lines), "edited")
     release(spark)
 
     found = link(band_keys(signed), signed, lambda ids: distinct_lines(docs, ids), _sets, SIMILAR, BANDS * ROWS, DISTANCE, first_key)
+    if not edits.isEmpty():
+        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(edits))
     release(spark)
     occ = occurrences(docs)
     distinct = occ.groupBy("h").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"))
