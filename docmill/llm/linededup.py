@@ -12,7 +12,8 @@ more are also linked where they differ in one word: replaced, put in or left out
 most a quarter of its line. This is exact. Such lines share their first or last half, which
 tells the few lines that can have a partner; those are met under a key for each word left out.
 
-Cases: lines under MIN_BYTES bytes, blank ones included, always stay. A null text has no
+Cases: blank lines always stay. Lines under MIN_BYTES bytes are compared by digest alone: equal
+ones count as repeats, but they are not linked to others. A null text has no
 lines and stays null. Rows with a null doc_id keep all their lines and are no one's
 original. Rows that share a doc_id share line numbers: a line number goes in all or none
 of them. An empty table gives an empty result. Clashing names of other columns do no harm.
@@ -33,6 +34,7 @@ from docmill.llm.common import U, as_binary, column, mix, release, stage, texts,
 from docmill.llm.graph import components
 from docmill.session import table
 
+#: Shorter lines have no fuzzy links.
 MIN_BYTES = 16
 GRAM = 8
 BANDS, ROWS = 12, 4
@@ -103,20 +105,20 @@ def grams(low: np.ndarray) -> np.ndarray:
     return x[: len(low)]
 
 
-def _eligible(data: np.ndarray, offsets: np.ndarray):
+def _eligible(data: np.ndarray, offsets: np.ndarray, least: int = MIN_BYTES):
     owner, number, a, b = split(data, offsets)
-    keep = b - a >= MIN_BYTES
+    keep = b - a >= least
     low = shingles.lower_ascii(data)
     owner, number, a, b = owner[keep], number[keep], a[keep], b[keep]
     return owner, number, a, b, low, digests(low, a, b).view(np.int64)
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """(h, doc_id, line) of every eligible line."""
+    """(h, doc_id, line) of every line that is not blank."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in texts(batches, "text"):
-            owner, number, _, _, _, h = _eligible(data, offsets)
+            owner, number, _, _, _, h = _eligible(data, offsets, 1)
             yield pa.RecordBatch.from_arrays([pa.array(h), column(rows, "doc_id").take(pa.array(owner)), pa.array(number)], names=["h", "doc_id", "line"])
 
     return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(run, "h long, doc_id long, line long")

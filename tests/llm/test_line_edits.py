@@ -69,3 +69,9 @@ def test_one_word_edits_link_at_several_lengths(spark, at):
     rows += [(2000, "Chapter 1 of 12"), (2001, "Chapter 2 of 12")]
     got = {r["doc_id"]: r["n_removed"] for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(got[1000 + 10 * k] == 1 for k in range(len(EDITS))) and got[2000] == got[2001] == 0
+
+
+def test_short_lines_that_are_equal_go(spark):
+    rows = [(1, "Read more\n\nx"), (2, "a\n read MORE\t\nX"), (3, "Read mores\n \n"), (4, None), (None, "x"), (5, "é\nRead more\na")]
+    got = {r["doc_id"]: (r["n_removed"], r["text"]) for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (0, "Read more\n\nx"), 2: (2, "a"), 3: (0, "Read mores\n \n"), 4: (0, None), None: (0, "x"), 5: (2, "é")}
