@@ -8,6 +8,11 @@ valid values, so it is one-to-one and equal values get equal pseudonyms everywhe
 whatever the punctuation. E-mail names and secrets are permuted letter for letter and
 digit for digit. Numbers that fail validation are left as they are.
 
+A card is looked for in every run of digits with single blanks or hyphens: each span of 13
+to 19 digits that begins and ends at a separator is tried, so that a number beside a card
+does not hide it. Of spans that overlap, those with an issuer's first digits win, then the
+first, then the longest.
+
 Cases: a null text stays null with no findings; empty and very long texts are handled
 whole. Rows are independent of each other; repeated rows give repeated results, an empty
 table an empty result. Overlapping findings: the earlier kind in KINDS wins. Other
@@ -19,6 +24,7 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -46,9 +52,11 @@ KINDS = {
     "ip": re.compile(r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])"),
     "date": re.compile(_NO + r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})" + _END),
     "ssn": re.compile(_NO + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + r"(?![0-9A-Za-z]|-[0-9])"),
-    "card": re.compile(_NO + r"[0-9](?:[ \-]?[0-9]){12,18}" + _END),
+    "card": re.compile(_NO + r"(?=[0-9](?:[ \-]?[0-9]){12})[0-9]+(?:[ \-][0-9]+)*" + _END),
     "phone": re.compile(r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)[ .\-]?)?[0-9]{2,4}(?:[ .\-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .\-][0-9]{4}|[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4})" + _END),
 }
+#: First digits that networks give out to card issuers.
+_ISSUER = re.compile(r"[3-6]|2(?:22[1-9]|2[3-9]|[3-6]|7[01]|720)")
 _MAYBE = re.compile(r"[0-9@]|[:=]")
 
 
@@ -81,6 +89,21 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def card_spans(run: str) -> list[tuple[int, int]]:
+    """The spans of a run of digits, blanks and hyphens that may be cards, the likeliest first."""
+    groups = [m.span() for m in re.finditer(r"[0-9]+", run)]
+    out = []
+    for i, (a, _) in enumerate(groups):
+        n = 0
+        for c, b in groups[i : i + 19]:
+            n += b - c
+            if n > 19:
+                break
+            if n >= 13 and luhn(digits := re.sub(r"[ \-]", "", run[a:b])):
+                out.append((_ISSUER.match(digits) is None, a, -b))
+    return [(a, -b) for _, a, b in sorted(out)]
+
+
 def _spread(text: str, digits: str) -> str:
     """Puts digits into the places that digits have in text."""
     source = iter(digits)
@@ -210,23 +233,21 @@ def findings(text: str, key: bytes = KEY) -> list[tuple[int, int, str, str]]:
         if kind == "email" and "@" not in text:
             continue
         for m in pattern.finditer(text):
-            a, b = m.span(m.lastindex or 0)
-            if (new := pseudonym(kind, text[a:b], key)) is not None:
-                taken.append((a, b, kind, new))
+            at, end = m.span(m.lastindex or 0)
+            for a, b in card_spans(text[at:end]) if kind == "card" else [(0, end - at)]:
+                if (new := pseudonym(kind, text[at + a : at + b], key)) is not None:
+                    taken.append((at + a, at + b, kind, new))
     rank = {k: i for i, k in enumerate(KINDS)}
     out: list[tuple[int, int, str, str]] = []
     used: list[tuple[int, int]] = []
-    for x in sorted(taken, key=lambda x: (rank[x[2]], x[0])):
+    for x in sorted(taken, key=lambda x: rank[x[2]]):
         if all(x[1] <= a or b <= x[0] for a, b in used) if len(used) < 32 else not _overlaps(used, x):
             out.append(x)
-            used.append(x[:2])
+            insort(used, x[:2])
     return sorted(out)
 
 
 def _overlaps(used: list[tuple[int, int]], x: tuple[int, int, str, str]) -> bool:
-    from bisect import bisect_left
-
-    used.sort()
     i = bisect_left(used, (x[0], x[1]))
     return (i < len(used) and used[i][0] < x[1]) or (i > 0 and used[i - 1][1] > x[0])
 
