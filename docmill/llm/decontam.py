@@ -2,7 +2,7 @@
 
 Texts are read as words of letters and digits, A-Z as a-z, so that case and punctuation
 don't hide a copy. The n-grams of the test items are counted over all documents. An
-item's seeds are its rare ones: those found in at most RARE of the documents, or no more
+item's seeds are its rare ones, of each length of LENGTHS apart: those found in at most RARE of the documents, or no more
 than FOLD times as often as the item's median n-gram (an item that leaked into very many
 documents keeps its seeds). Documents are joined with items on seeds, the passage around
 the seeds is aligned with the whole item word by word (match 1, mismatch and gap -1), and
@@ -13,7 +13,7 @@ for each block and step; documents are never shuffled. What is sent to the drive
 count per n-gram of the block.
 
 Cases: null or wordless documents and items match nothing, nor do items with a null id;
-an item with fewer than N words matches documents with just these words. A document
+an item with fewer words than a seed matches documents with just these words. A document
 holding an item several times is one row with its best score. Repeated items are items of
 their own. Empty tables give an empty result. Other columns are not looked at.
 """
@@ -31,7 +31,9 @@ from docmill.llm import shingles
 from docmill.llm.common import U, column, texts
 from docmill.session import table
 
-N = 4
+#: Lengths of seeds. With 4 alone, a copy with a word put in after every third word (score 2/3)
+#: has none; 3 alone would lose rare runs of 4 words whose parts are frequent.
+LENGTHS = (3, 4)
 RARE = 0.001
 FOLD = 4
 THRESHOLD = 0.5
@@ -44,13 +46,14 @@ FILTER = 22
 
 
 class Items:
-    """The words and n-grams of a block of items."""
+    """The words and n-grams of one length of a block of items."""
 
-    def __init__(self, ids: np.ndarray, said: list[str]) -> None:
+    def __init__(self, ids: np.ndarray, said: list[str], length: int) -> None:
         raw = [x.encode() for x in said]
         offsets = np.concatenate(([0], np.cumsum([len(x) for x in raw]))).astype(np.int64)
         words, counts, _, _ = shingles.word_hashes(np.frombuffer(b"".join(raw), np.uint8), offsets, plain=True)
-        h, n = shingles.shingle_hashes(words, counts, N)
+        h, n = shingles.shingle_hashes(words, counts, length)
+        self.length = length
         self.ids, self.words = ids, np.split(words, np.cumsum(counts)[:-1])
         at = np.concatenate([np.arange(k) for k in n]) if len(n) else np.zeros(0, np.int64)
         item = np.repeat(np.arange(len(n)), n)
@@ -107,50 +110,54 @@ def align(items: list[np.ndarray], passages: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _grams(data: np.ndarray, offsets: np.ndarray):
-    words, counts, _, _ = shingles.word_hashes(data, offsets, plain=True)
-    h, n = shingles.shingle_hashes(words, counts, N)
-    return words, counts, h, n
-
-
-def _count(docs: DataFrame, shared) -> np.ndarray:
-    """For each n-gram of the items, how many documents hold it."""
+def _count(docs: DataFrame, shared) -> list[np.ndarray]:
+    """For each n-gram of the items, by length, how many documents hold it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = shared.value
-        total = np.zeros(len(items.grams), np.int64)
+        totals = [np.zeros(len(items.grams), np.int64) for items in shared.value]
         for _, data, offsets in texts(batches, "text"):
-            _, _, h, n = _grams(data, offsets)
-            where, gram = items.hits(h)
-            owner = np.searchsorted(np.cumsum(n), where, "right")
-            seen = np.unique(owner * (len(items.grams) + 1) + gram)
-            total += np.bincount(seen % (len(items.grams) + 1), minlength=len(total))
+            words, counts, _, _ = shingles.word_hashes(data, offsets, plain=True)
+            for items, total in zip(shared.value, totals, strict=True):
+                h, n = shingles.shingle_hashes(words, counts, items.length)
+                where, gram = items.hits(h)
+                owner = np.searchsorted(np.cumsum(n), where, "right")
+                seen = np.unique(owner * (len(items.grams) + 1) + gram)
+                total += np.bincount(seen % (len(items.grams) + 1), minlength=len(total))
+        total = np.concatenate(totals)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["gram", "n"])
 
     got = docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
-    df = np.zeros(len(shared.value.grams), np.int64)
+    ends = np.cumsum([len(items.grams) for items in shared.value])
+    df = np.zeros(ends[-1], np.int64)
     df[got["gram"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
-    return df
+    return np.split(df, ends[:-1])
+
+
+def _seeds(items: Items, words: np.ndarray, counts: np.ndarray):
+    """Of each seed found: the text, the item, and the word where the item would begin."""
+    h, n = shingles.shingle_hashes(words, counts, items.length)
+    where, gram = items.hits(h)
+    # one entry for each place and item of its n-gram
+    many = items.many[gram] if len(gram) else np.zeros(0, np.int64)
+    entry = np.repeat(items.first[gram], many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) if len(gram) else np.zeros(0, np.int64)
+    where, item, at = np.repeat(where, many), items.item[entry], items.at[entry]
+    ends = np.cumsum(n)
+    owner = np.searchsorted(ends, where, "right")
+    word0 = np.cumsum(counts) - counts
+    return owner, item, where - (ends - n)[owner] + word0[owner] - at
 
 
 def _match(docs: DataFrame, shared, threshold: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = shared.value
+        items = shared.value[0]
         size = np.array([len(x) for x in items.words], np.int64)
         for rows, data, offsets in texts(batches, "text"):
-            words, counts, h, n = _grams(data, offsets)
-            where, gram = items.hits(h)
-            if not len(where):
+            words, counts, _, _ = shingles.word_hashes(data, offsets, plain=True)
+            owner, item, begin = (np.concatenate(x) for x in zip(*(_seeds(x, words, counts) for x in shared.value), strict=True))
+            if not len(owner):
                 continue
-            # one entry for each place and item of its n-gram
-            many = items.many[gram]
-            entry = np.repeat(items.first[gram], many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-            where, item, at = np.repeat(where, many), items.item[entry], items.at[entry]
-            ends = np.cumsum(n)
-            owner = np.searchsorted(ends, where, "right")
             word0 = np.cumsum(counts) - counts
-            begin = where - (ends - n)[owner] + word0[owner] - at  # where the item would begin
             slack = np.maximum(8, size[item] // 4)
             lo = np.maximum(begin - slack, word0[owner])
             hi = np.minimum(begin + size[item] + slack, word0[owner] + counts[owner])
@@ -194,8 +201,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     out = None
     for b in range(blocks):
         got = own.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).orderBy("item_id").toPandas()
-        items = Items(got["item_id"].to_numpy(np.int64), got["text"].tolist())
-        items.rare(_count(docs, spark.sparkContext.broadcast(items)), total)
+        items = [Items(got["item_id"].to_numpy(np.int64), got["text"].tolist(), n) for n in LENGTHS]
+        for x, df in zip(items, _count(docs, spark.sparkContext.broadcast(items)), strict=True):
+            x.rare(df, total)
         found = _match(docs, spark.sparkContext.broadcast(items), threshold)
         out = found if out is None else out.unionByName(found)
     return out
