@@ -38,6 +38,10 @@ def prepare(spark: SparkSession) -> SparkSession:
     # A union that claims its inputs' partitioning fails where adaptive execution gives them
     # different numbers of partitions ("Can't zip RDDs with unequal numbers of partitions").
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    # Shuffle files of a finished query go at once, and batches of long texts stay small.
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
