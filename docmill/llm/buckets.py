@@ -4,7 +4,9 @@ Every bucket first links its members to its smallest one, as a join. Links that
 the full sets are joined into components. Only buckets that then still hold several
 components are looked at again: their members meet, with their texts, in blocks of
 bounded size, and a task tests the pairs of different components whose signatures are
-close enough, each pair in the first bucket that it shares. Pairs never become rows; only
+close enough, each pair in the first bucket that it shares. The largest component of a
+bucket meets only the other members, so a bucket of n members costs n rows and not n²/1000
+where all but a few of them are joined already. Pairs never become rows; only
 links leave a task. So every pair that shares a bucket is either within one component or
 has been tested, and a bucket of any size that forms one component costs one test per
 member.
@@ -20,13 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docmill.llm import shingles
-from docmill.llm.common import column, partitions, release, stage, texts, utf8
+from docmill.llm.common import blocks, column, drop, partitions, stage, texts, utf8
 from docmill.llm.graph import components
 
-#: Members of a mixed bucket that meet in one block.
+#: Members of a mixed bucket that meet in one block, and the bytes of their texts.
 BLOCK = 1000
+BLOCK_BYTES = 2 << 20
 #: Bytes of texts that a worker holds at once while it compares members.
-HELD = 4 << 20
+HELD = 1 << 20
 
 #: From texts (bytes and offsets) to their distinct hashes and how many each has.
 Sets = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
@@ -38,32 +41,21 @@ def _matrix(values: pa.Array, n: int, size: int) -> np.ndarray:
     return data.view(np.uint16).reshape(n, size)
 
 
-def close(pairs: DataFrame, signed: DataFrame, size: int, distance: int) -> DataFrame:
-    """Pairs (a, b) whose signatures (id, sig) differ in at most `distance` of `size` places."""
-    left = signed.select(F.col("id").alias("a"), F.col("sig").alias("sig_a"))
-    right = signed.select(F.col("id").alias("b"), F.col("sig").alias("sig_b"))
+def confirm(pairs: DataFrame, said: DataFrame, sets: Sets, similar: int, size: int, distance: int) -> DataFrame:
+    """Of pairs (a, b), those with close signatures and 100 * intersection >= similar * union. said: (id, sig, said)."""
+    both = pairs.join(said.toDF("b", "sig_b", "said_b"), "b").join(said.toDF("a", "sig_a", "said_a"), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            n = x.num_rows
-            near = (_matrix(column(x, "sig_a"), n, size) != _matrix(column(x, "sig_b"), n, size)).sum(axis=1) <= distance
-            yield x.select(["a", "b"]).filter(pa.array(near))
+        for batch in batches:
+            n = batch.num_rows
+            near = (_matrix(column(batch, "sig_a"), n, size) != _matrix(column(batch, "sig_b"), n, size)).sum(axis=1) <= distance
+            for rows, data, offsets in texts(iter([batch.filter(pa.array(near))]), "said_a"):
+                h1, n1 = sets(data, offsets)
+                h2, n2 = sets(*utf8(column(rows, "said_b")))
+                inter = shingles.common(h1, n1, h2, n2)
+                yield rows.select(["a", "b"]).filter(pa.array((100 * inter >= similar * (n1 + n2 - inter)) & (n1 > 0) & (n2 > 0)))
 
-    return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a long, b long")
-
-
-def confirm(pairs: DataFrame, said: DataFrame, sets: Sets, similar: int) -> DataFrame:
-    """Of pairs (a, b), those with 100 * intersection >= similar * union. said: (id, said)."""
-    both = pairs.join(said.toDF("a", "said_a"), "a").join(said.toDF("b", "said_b"), "b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in texts(batches, "said_a", 1 << 19):
-            h1, n1 = sets(data, offsets)
-            h2, n2 = sets(*utf8(column(rows, "said_b")))
-            inter = shingles.common(h1, n1, h2, n2)
-            yield rows.select(["a", "b"]).filter(pa.array((100 * inter >= similar * (n1 + n2 - inter)) & (n1 > 0) & (n2 > 0)))
-
-    return both.select("a", "b", "said_a", "said_b").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "sig_a", "said_a", "sig_b", "said_b").mapInArrow(run, "a long, b long")
 
 
 def _linked(a: np.ndarray, b: np.ndarray, similar: int) -> bool:
@@ -75,6 +67,15 @@ def _linked(a: np.ndarray, b: np.ndarray, similar: int) -> bool:
     return 100 * inter >= similar * (len(a) + len(b) - inter)
 
 
+def _split_sets(data: np.ndarray, offsets: np.ndarray, sets: Sets) -> list[np.ndarray]:
+    """The set of each text, a block of texts at a time."""
+    own: list[np.ndarray] = []
+    for a, b in blocks(offsets):
+        h, n = sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        own += np.split(h, np.cumsum(n)[:-1])
+    return own
+
+
 def _meet(size: int, distance: int, first_key: FirstKey, sets: Sets, similar: int):
     """Compares the members of each (key, i, j), rows sorted by it; yields links between components."""
 
@@ -82,8 +83,7 @@ def _meet(size: int, distance: int, first_key: FirstKey, sets: Sets, similar: in
         t = t.combine_chunks()
         ident, comp, block, low, i, j, key = (t.column(c).to_numpy() for c in ("id", "comp", "block", "low", "i", "j", "key"))
         sig = _matrix(t.column("sig").combine_chunks(), len(ident), size)
-        h, n = sets(*utf8(t.column("said")))
-        own = np.split(h, np.cumsum(n)[:-1])
+        own = _split_sets(*utf8(t.column("said")), sets)
         group = np.cumsum(np.append(0, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
         across = i != j
         root: dict[int, int] = {}  # components joined here: no need to test within them
@@ -130,38 +130,46 @@ def _meet(size: int, distance: int, first_key: FirstKey, sets: Sets, similar: in
     return run
 
 
-def link(keys: DataFrame, signed: DataFrame, texts_of: Callable[[DataFrame], DataFrame], sets: Sets, similar: int, size: int, distance: int, first_key: FirstKey) -> DataFrame:
+def link(buckets: DataFrame, said: DataFrame, sets: Sets, similar: int, size: int, distance: int, first_key: FirstKey) -> DataFrame:
     """node and component of all rows with a confirmed link, but the smallest of each component.
 
-    keys: (key, id), a row for each bucket that a row belongs to. signed: (id, sig), the
-    signature as `size` 16-bit places. texts_of: from ids (id) to their texts (id, said).
-    first_key: of rows of two matrices of signatures, the first key that they share.
+    buckets: (key, id, low, n), a row for each bucket that a row shares with others, the
+    smallest id in it and how many it has. said: (id, sig, said), of each row its signature
+    as `size` 16-bit places and its text. Both are in shared storage already. first_key: of
+    rows of two matrices of signatures, the first key that they share.
     """
-    spark = keys.sparkSession
-    groups = keys.groupBy("key").agg(F.min("id").alias("low"), F.count("*").alias("n")).where("n > 1")
-    shared = stage(keys.join(groups, "key"), "buckets")
-    release(spark)
-    said = stage(texts_of(shared.select("id").distinct()), "texts")
-    release(spark)
-    pairs = shared.where("id != low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
-    found = components(stage(confirm(close(pairs, signed, size, distance), said, sets, similar), "links"))
+    spark = buckets.sparkSession
+    pairs = buckets.where("id != low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
+    links = stage(confirm(pairs, said, sets, similar, size, distance), "links")
+    found = components(links)
+    drop(links)
     # a bucket of two has had its only pair tested
-    labels = found.select(F.col("node").alias("id"), "component")
-    again = shared.where("n > 2").join(labels, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+    again = buckets.where("n > 2").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
     mixed = again.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("key")
-    members = again.join(mixed, "key")
-    parts = F.ceil(F.col("n") / BLOCK).cast("int")
+    members = stage(again.join(mixed, "key").join(said.select("id", F.octet_length("said").alias("bytes")), "id"), "members")
+    if members.isEmpty():
+        drop(members)
+        return found
+    # the largest component of a bucket meets the other members, but not itself
+    weights = members.groupBy("key", "comp").agg(F.count("*").alias("k"), F.sum("bytes").alias("w"))
+    most = weights.groupBy("key").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.max("k").alias("k_main"), F.max_by("w", F.struct("k", "comp")).alias("w_main"), F.sum("k").alias("k_all"), F.sum("w").alias("w_all"))
+    parts = lambda k, w: F.ceil(F.greatest(k / BLOCK, w / BLOCK_BYTES)).cast("int")
+    sized = most.select("key", "main", parts(F.col("k_all") - F.col("k_main"), F.col("w_all") - F.col("w_main")).alias("few"), parts(F.col("k_main"), F.col("w_main")).alias("many"))
+    inner = F.col("comp") != F.col("main")
     rows = (
-        members.withColumn("block", F.pmod(F.xxhash64("id"), parts).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+        members.join(sized, "key")
+        .withColumn("block", F.when(inner, F.pmod(F.xxhash64("id"), F.col("few"))).otherwise(F.col("few") + F.pmod(F.xxhash64("id"), F.col("many"))).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.when(inner, F.col("few") + F.col("many") - 1).otherwise(F.col("few") - 1))))
         .select("key", "id", "comp", "low", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-        .join(signed, "id")
         .join(said, "id")
         .select("key", "i", "j", "id", "comp", "low", "block", "sig", "said")
     )
     met = rows.repartition(partitions(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j")
     more = stage(met.mapInArrow(_meet(size, distance, first_key, sets, similar), "a long, b long"), "links")
-    release(spark)
-    if more.isEmpty():
-        return found
-    return components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    drop(members)
+    if not more.isEmpty():
+        joined = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+        drop(found)
+        found = joined
+    drop(more)
+    return found

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 U = np.uint64
 #: Text bytes that one step of a numpy kernel works on; bounds a worker's memory.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 _staged: list[tuple[object, str]] = []
 
@@ -50,7 +49,15 @@ def stage(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged = path  # only for drop()
+    return out
+
+
+def drop(*staged: DataFrame) -> None:
+    """Deletes the files of stage() results that have had their last reader."""
+    for df in staged:
+        drop_folder(df.sparkSession, df._staged)
 
 
 def drop_folder(spark: SparkSession, path: str) -> None:
@@ -60,13 +67,6 @@ def drop_folder(spark: SparkSession, path: str) -> None:
         target.getFileSystem(conf).delete(target, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    with contextlib.suppress(Exception):
-        spark.sparkContext._jvm.System.gc()
-
-
 @atexit.register
 def _drop_staged() -> None:
     for spark, path in _staged:
@@ -86,6 +86,38 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def windows(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each position as one integer; zeros follow the last byte."""
+    x = np.concatenate((data, np.zeros(8, np.uint8))).astype(U)
+    for step in (1, 2, 4):
+        x[: len(x) - step] |= x[step:] << U(8 * step)
+    return x[: len(data)]
+
+
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
+
+
+def range_hashes(eight: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each range of bytes. eight: windows() of the bytes.
+
+    Every 8 bytes are mixed with their place before they are added up, so no
+    structure of the bytes cancels out as it does in a polynomial modulo 2^64.
+    """
+    size = end - begin
+    pieces = (size + 7) >> 3
+    at = np.cumsum(pieces) - pieces
+    total = int(pieces.sum())
+    out = np.zeros(len(begin), U)
+    if total:
+        j = np.arange(total) - np.repeat(at, pieces)
+        pos = np.repeat(begin, pieces) + 8 * j
+        v = eight[pos] & _LOW[np.minimum(np.repeat(end, pieces) - pos, 8)]
+        v ^= mix(j.astype(U) + U(1))
+        some = np.flatnonzero(pieces)
+        out[some] = np.add.reduceat(mix(v), at[some])
+    return mix(out ^ mix(size.astype(U) + U(0xA0761D6478BD642F)))
+
+
 def constants(seed: int, n: int) -> np.ndarray:
     """n odd 64-bit constants that depend on the seed alone."""
     return mix(np.arange(1, n + 1, dtype=U) + U(seed * 0x632BE59BD9B4E019 % 2**64)) | U(1)

@@ -12,11 +12,16 @@ more are also linked where they differ in one word: replaced, put in or left out
 most a quarter of its line. This is exact. Such lines share their first or last half, which
 tells the few lines that can have a partner; those are met under a key for each word left out.
 
+Documents are split three times: once for all keys, which are dealt into cells as packed
+blobs (see cells); once for the texts of the lines that share a key with another line; and
+once to take lines out. Only the numbers of the lines that go are ever joined to documents.
+
 Cases: blank lines always stay. Lines under MIN_BYTES bytes are compared by digest alone: equal
 ones count as repeats, but they are not linked to others. A null text has no
 lines and stays null. Rows with a null doc_id keep all their lines and are no one's
 original. Rows that share a doc_id share line numbers: a line number goes in all or none
 of them. An empty table gives an empty result. Clashing names of other columns do no harm.
+A text of any length is split whole; the numpy kernels hold some 100 bytes for each of its bytes.
 """
 
 from __future__ import annotations
@@ -25,12 +30,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from docmill.llm import shingles
+from docmill.llm import cells, shingles
 from docmill.llm.buckets import link
-from docmill.llm.common import U, as_binary, column, mix, release, stage, texts, utf8
+from docmill.llm.common import U, as_binary, column, drop, mix, range_hashes, stage, texts, utf8, windows
 from docmill.llm.graph import components
 from docmill.session import table
 
@@ -77,69 +84,25 @@ def split(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return own[owner], number, a, b
 
 
-def digests(low: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit digest of each range of bytes."""
-    size = end - begin
-    flat, counts = _ranges(begin, size)
-    if not len(flat):
-        return np.zeros(len(begin), U)
-    at = np.cumsum(counts) - counts
-    place = np.arange(len(flat)) - np.repeat(at, counts)
-    x = (low[flat].astype(U) + U(1)) * shingles.powers(int(size.max()))[place]
-    out = np.zeros(len(begin), U)
-    some = np.flatnonzero(counts)
-    out[some] = np.add.reduceat(x, at[some])
-    return mix(out + size.astype(U) * U(0xA0761D6478BD642F))
-
-
 def _ranges(begin: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at = np.cumsum(counts) - counts
     return np.repeat(begin - at, counts) + np.arange(int(counts.sum())), counts
 
 
-def grams(low: np.ndarray) -> np.ndarray:
-    """The GRAM bytes from each position as one integer."""
-    x = np.concatenate((low, np.zeros(GRAM, np.uint8))).astype(U)
-    for step in (1, 2, 4):
-        x[: len(x) - step] |= x[step:] << U(8 * step)
-    return x[: len(low)]
-
-
-def _eligible(data: np.ndarray, offsets: np.ndarray, least: int = MIN_BYTES):
-    owner, number, a, b = split(data, offsets)
-    keep = b - a >= least
-    low = shingles.lower_ascii(data)
-    owner, number, a, b = owner[keep], number[keep], a[keep], b[keep]
-    return owner, number, a, b, low, digests(low, a, b).view(np.int64)
-
-
-def occurrences(docs: DataFrame) -> DataFrame:
-    """(h, doc_id, line) of every line that is not blank."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in texts(batches, "text"):
-            owner, number, _, _, _, h = _eligible(data, offsets, 1)
-            yield pa.RecordBatch.from_arrays([pa.array(h), column(rows, "doc_id").take(pa.array(owner)), pa.array(number)], names=["h", "doc_id", "line"])
-
-    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(run, "h long, doc_id long, line long")
-
-
-def signed_lines(docs: DataFrame) -> DataFrame:
-    """(id, sig, halves): the digest, signature and half_keys() of every distinct line."""
-    size = BANDS * ROWS
+class Lines:
+    """The lines of a block of texts that hold `least` bytes or more, with their digests."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, data, offsets in texts(batches, "text"):
-            _, _, a, b, low, h = _eligible(data, offsets)
-            h, which = np.unique(h, return_index=True)
-            flat, counts = _ranges(a[which], b[which] - a[which] - GRAM + 1)
-            sig = shingles.signatures(mix(grams(low)[flat]), counts, size)
-            keys, n = half_keys(*_packed(low, a[which], b[which]))
-            halves = as_binary(keys.view(np.uint8), 8 * np.concatenate(([0], np.cumsum(n))))
-            yield pa.RecordBatch.from_arrays([pa.array(h), as_binary(sig.view(np.uint8).ravel(), 2 * size * np.arange(len(h) + 1)), halves], names=["id", "sig", "halves"])
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, least: int = 1) -> None:
+        owner, number, a, b = split(data, offsets)
+        keep = b - a >= least
+        self.low = shingles.lower_ascii(data)
+        self.eight = windows(self.low)
+        self.owner, self.number, self.begin, self.end = owner[keep], number[keep], a[keep], b[keep]
+        self.digest = range_hashes(self.eight, self.begin, self.end).view(np.int64)
 
-    rows = docs.where("doc_id IS NOT NULL").select("text").mapInArrow(run, "id long, sig binary, halves binary")
-    return rows.groupBy("id").agg(F.first("sig").alias("sig"), F.first("halves").alias("halves"))
+    def signatures(self, which: np.ndarray) -> np.ndarray:
+        flat, counts = _ranges(self.begin[which], self.end[which] - self.begin[which] - GRAM + 1)
+        return shingles.signatures(mix(self.eight[flat]), counts, BANDS * ROWS)
 
 
 def _packed(low: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -199,40 +162,92 @@ def edit_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.concatenate((who, who, full)), np.concatenate((there, gone, own)), whole
 
 
-def edited(docs: DataFrame, signed: DataFrame) -> DataFrame:
-    """(a, b): links that join all lines that differ in one word. signed: signed_lines()."""
+#: Kinds of what tasks hand on: first occurrences, lines that go, bands, halves.
+FIRST, GONE, BAND, HALF = range(4)
+FOUND = "kind int, key long, id long, a long, b long"
 
-    def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = utf8(column(batch, "halves"))
-            keys = np.ascontiguousarray(data).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(column(batch, "id").to_numpy(), np.diff(offsets) // 8))], names=["key", "id"])
-
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in texts(batches, "said"):
-            line, key, whole = edit_keys(data, offsets)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), column(rows, "id").take(pa.array(line)), pa.array(whole)], names=["key", "id", "whole"])
 
-    keys = signed.select("id", "halves").mapInArrow(halves, "key long, id long")
-    shared = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
-    some = stage(keys.join(shared, "key").select("id").distinct(), "halves")
-    release(docs.sparkSession)
-    rows = stage(distinct_lines(docs, some).mapInArrow(words, "key long, id long, whole boolean"), "edits")
-    met = rows.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("high"), F.max("whole").alias("one")).where("a < high AND one").select("key", "a")
-    return rows.join(met, "key").where("a <> id").select("a", F.col("id").alias("b")).distinct()
+def _spread(count: int):
+    """Blobs of every line's occurrence and of the distinct longer lines' band and half keys."""
 
+    def occurrences(h: np.ndarray, doc: np.ndarray, line: np.ndarray) -> list[tuple[int, int, bytes]]:
+        gone, (h, doc, line) = _sorted_out(h, doc, line)
+        out = cells.deal(FIRST, h.view(U), (doc, line), count)
+        for k in range(0, len(gone[0]), 50_000):
+            out.append((k // 50_000 * 7919 % count, GONE, cells.pack(*(x[k : k + 50_000] for x in gone))))
+        return out
 
-def band_keys(signed: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.num_rows
-            if n:
-                data, _ = utf8(column(batch, "sig"))
-                bands = np.ascontiguousarray(data).view(U).reshape(n, BANDS)
-                keys = _keys(bands, np.arange(BANDS))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(column(batch, "id").to_numpy(), BANDS))], names=["key", "id"])
+        held: dict[int, list] = {FIRST: [], BAND: [], HALF: []}
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            rows = []
+            for kind, parts in held.items():
+                if parts:
+                    key, *others = (np.concatenate(x) for x in zip(*parts, strict=True))
+                    rows += occurrences(key, *others) if kind == FIRST else cells.deal(kind, key, tuple(others), count)
+                parts.clear()
+            return cells.batch_of(rows)
 
-    return signed.mapInArrow(run, "key long, id long")
+        for rows, data, offsets in texts(batches, "text"):
+            x = Lines(data, offsets)
+            long = x.end - x.begin >= MIN_BYTES
+            held[FIRST].append((x.digest, column(rows, "doc_id").to_numpy()[x.owner], x.number << 1 | long))
+            at = np.flatnonzero(long)
+            h, which = np.unique(x.digest[at], return_index=True)
+            which = at[which]
+            if len(h):
+                bands = band_keys(x.signatures(which))
+                held[BAND].append((bands.ravel(), np.repeat(h, BANDS)))
+                keys, n = half_keys(*_packed(x.low, x.begin[which], x.end[which]))
+                held[HALF].append((keys, np.repeat(h, n)))
+                size += bands.size + len(keys)
+            size += len(x.digest)
+            if size >= cells.HELD:
+                yield flush()
+                size = 0
+        if size:
+            yield flush()
+
+    return run
+
+
+def _sorted_out(h: np.ndarray, doc: np.ndarray, line: np.ndarray):
+    """(doc, line) of occurrences that repeat an earlier one, and the first ones as (h, doc, line)."""
+    order = np.lexsort((line, doc, h))
+    h, doc, line = h[order], doc[order], line[order]
+    first = np.ones(len(h), bool)
+    first[1:] = h[1:] != h[:-1]
+    lead = np.flatnonzero(first)[np.cumsum(first) - 1]
+    gone = (doc != doc[lead]) | (line != line[lead])
+    return (doc[gone], line[gone] >> 1), (h[first], doc[first], line[first])
+
+
+def _solve(cell: int, kind: int, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+    def found(kind: int, key: np.ndarray | None, ident: np.ndarray | None, a: np.ndarray | None, b: np.ndarray | None) -> pa.RecordBatch:
+        n = next(len(x) for x in (key, ident, a, b) if x is not None)
+        values = [pa.nulls(n, pa.int64()) if x is None else pa.array(x) for x in (key, ident, a, b)]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *values], names=["kind", "key", "id", "a", "b"])
+
+    if kind == GONE:
+        for blob in blobs:
+            yield found(GONE, None, None, *cells.unpack(blob, 2))
+    elif kind == FIRST:
+        gone, (h, doc, line) = _sorted_out(*(np.concatenate(x) for x in zip(*(cells.unpack(b, 3) for b in blobs), strict=True)))
+        yield found(GONE, None, None, *gone)
+        long = line & 1 == 1
+        yield found(FIRST, None, h[long], doc[long], line[long] >> 1)
+    elif kind == BAND:
+        yield found(BAND, *cells.buckets(blobs))
+    else:
+        _, ident, _, _ = cells.buckets(blobs)
+        yield found(HALF, None, np.unique(ident), None, None)
+
+
+def band_keys(sig: np.ndarray) -> np.ndarray:
+    """The keys of the bands of signatures, a row for each."""
+    return _keys(np.ascontiguousarray(sig).view(U), np.arange(BANDS))
 
 
 def _keys(bands: np.ndarray, which: np.ndarray) -> np.ndarray:
@@ -247,46 +262,111 @@ def first_key(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return _keys(a[np.arange(n), which], which)
 
 
-def distinct_lines(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, said): the bytes of the lines with these digests."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, data, offsets in texts(batches, "text"):
-            _, _, a, b, low, h = _eligible(data, offsets)
-            h, which = np.unique(h, return_index=True)
-            flat, counts = _ranges(a[which], b[which] - a[which])
-            yield pa.RecordBatch.from_arrays([pa.array(h), as_binary(low[flat], np.concatenate(([0], np.cumsum(counts))))], names=["id", "said"])
-
-    said = docs.where("doc_id IS NOT NULL").select("text").mapInArrow(run, "id long, said binary")
-    return said.groupBy("id").agg(F.first("said").alias("said")).join(ids, "id", "left_semi")
+def _said(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, half, said, sig) of the lines asked for: their bytes and, where a bucket asks, signatures."""
+    for rows, data, offsets in texts(batches, "text"):
+        x = Lines(data, offsets, MIN_BYTES)
+        asked = column(rows, "asked")
+        owner = np.repeat(np.arange(rows.num_rows), asked.value_lengths().to_numpy())
+        flat = asked.flatten()
+        ident, line, half, band = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+        # a document's lines are in order; under a repeated doc_id the digest tells whose line it is
+        place = np.searchsorted(x.owner << 32 | x.number, owner << 32 | line)
+        good = place < len(x.digest)
+        good[good] = x.digest[place[good]] == ident[good]
+        place, ident, half, band = place[good], ident[good], half[good], band[good]
+        low, at = _packed(x.low, x.begin[place], x.end[place])
+        sig = x.signatures(place[band])
+        size = np.concatenate(([0], np.cumsum(np.where(band, 2 * BANDS * ROWS, 0))))
+        yield pa.RecordBatch.from_arrays([pa.array(ident), pa.array(half), as_binary(low, at), as_binary(sig.view(np.uint8).ravel(), size)], names=["id", "half", "said", "sig"])
+
+
+def edited(said: DataFrame) -> DataFrame:
+    """(a, b): links that join all lines (id, said) that differ in one word."""
+    count = cells.cells_for(said)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for rows, data, offsets in texts(batches, "said"):
+            line, key, whole = edit_keys(data, offsets)
+            held.append((key, column(rows, "id").to_numpy()[line], whole))
+            size += len(key)
+            if size >= cells.HELD:
+                yield cells.batch_of(cells.deal(0, *cells.joined(held), count))
+                held, size = [], 0
+        if held:
+            yield cells.batch_of(cells.deal(0, *cells.joined(held), count))
+
+    def solve(cell: int, kind: int, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        key, ident, whole = (np.concatenate(x) for x in zip(*(cells.unpack(b, 3) for b in blobs), strict=True))
+        order = np.lexsort((ident, key))
+        key, ident, whole = key[order], ident[order], whole[order]
+        first = np.ones(len(key), bool)
+        first[1:] = key[1:] != key[:-1]
+        head, group = np.flatnonzero(first), np.cumsum(first) - 1
+        low = ident[head][group]
+        some = (low != ident) & (np.maximum.reduceat(whole, head)[group] > 0)
+        a, b = np.unique(np.stack((low[some], ident[some])), axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return cells.meet(said.select("id", "said").mapInArrow(spread, cells.BLOBS), solve, "a long, b long")
 
 
 def _sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     counts = np.maximum(np.diff(offsets) - GRAM + 1, 0)
     flat, _ = _ranges(offsets[:-1], counts)
-    return shingles.distinct(grams(data)[flat], counts)
+    return shingles.distinct(windows(data)[flat], counts)
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, removed): the sorted numbers of the lines that go, for documents that lose any."""
-    spark = docs.sparkSession
-    lines = stage(signed_lines(docs), "lines")
-    release(spark)
-    signed = lines.select("id", "sig")
-    edits = stage(edited(docs, lines), "edited")
-    release(spark)
-
-    found = link(band_keys(signed), signed, lambda ids: distinct_lines(docs, ids), _sets, SIMILAR, BANDS * ROWS, DISTANCE, first_key)
+    """(doc_id, line): the numbers of the lines that go, each once."""
+    part = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
+    count = cells.cells_for(part)
+    found = stage(cells.meet(part.mapInArrow(_spread(count), cells.BLOBS), _solve, FOUND), "lines")
+    kind = lambda k: found.where(F.col("kind") == k)
+    first = kind(FIRST).select("id", F.col("a").alias("doc_id"), F.col("b").alias("line"))
+    buckets = kind(BAND).select("key", "id", F.col("a").alias("low"), F.col("b").alias("n"))
+    wanted = kind(BAND).select("id", "kind").unionByName(kind(HALF).select("id", "kind")).groupBy("id").agg(F.max(F.col("kind") == HALF).alias("half"), F.max(F.col("kind") == BAND).alias("band"))
+    asked = wanted.join(first, "id").groupBy("doc_id").agg(F.collect_list(F.struct("id", "line", "half", "band")).alias("asked"))
+    said = stage(part.join(asked, "doc_id").select("text", "asked").mapInArrow(_said, "id long, half boolean, said binary, sig binary"), "said")
+    edits = stage(edited(said.where("half")), "edited")
+    linked = link(buckets, said.where(F.octet_length("sig") > 0).select("id", "sig", "said"), _sets, SIMILAR, BANDS * ROWS, DISTANCE, first_key)
+    drop(said)
+    labels = linked
     if not edits.isEmpty():
-        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(edits))
-    release(spark)
-    occ = occurrences(docs)
-    distinct = occ.groupBy("h").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"))
-    labelled = distinct.join(found.withColumnRenamed("node", "h"), "h", "left").select("h", "first", "n", F.coalesce("component", "h").alias("c"))
-    keepers = labelled.groupBy("c").agg(F.min("first").alias("keep"), F.sum("n").alias("n")).where("n > 1").drop("n")
-    plan = stage(labelled.select("h", "c").join(keepers, "c").select("h", F.col("keep.doc_id").alias("keep_doc"), F.col("keep.line").alias("keep_line")), "keepers")
-    gone = occ.join(plan, "h").where("doc_id <> keep_doc OR line <> keep_line")
-    return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("removed"))
+        labels = components(linked.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(edits))
+        drop(linked, edits)
+    # of the lines with a link, all but the first of their component go
+    nodes = labels.select(F.col("node").alias("id"), "component").unionByName(labels.select(F.col("component").alias("id"), "component").distinct())
+    members = stage(nodes.join(first, "id"), "members")
+    keep = members.groupBy("component").agg(F.min(F.struct("doc_id", "line")).alias("keep"))
+    fuzzy = members.join(keep, "component").where("doc_id <> keep.doc_id OR line <> keep.line").select("doc_id", "line")
+    return kind(GONE).select(F.col("a").alias("doc_id"), F.col("b").alias("line")).unionByName(fuzzy)
+
+
+def without(data: np.ndarray, offsets: np.ndarray, owner: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes and offsets of texts without the given lines (each once); the rest stay joined by newlines."""
+    end = data == 10
+    begin = np.unique(np.concatenate((offsets[:-1], np.flatnonzero(end) + 1)))
+    begin = begin[begin < len(data)]
+    first = np.searchsorted(begin, offsets[:-1])
+    last = np.searchsorted(begin, offsets[1:])
+    stop = np.append(begin[1:], len(data))
+    stay = np.ones(len(begin), bool)
+    real = first[owner] + line < last[owner]  # the empty line after a last newline is not among them
+    stay[(first[owner] + line)[real]] = False
+    keep = np.repeat(stay, stop - begin)
+    # a newline belongs to the line before it; a last line that goes takes the newline before what is left
+    shut = np.zeros(len(offsets) - 1, bool)
+    full = np.flatnonzero(last > first)
+    shut[full] = ~stay[last[full] - 1] & ~end[offsets[1:][full] - 1]
+    total = np.concatenate(([0], np.cumsum(keep)))
+    size = np.diff(total[offsets])
+    left = np.flatnonzero(shut & (size > 0))
+    kept = np.flatnonzero(keep)
+    keep[kept[total[offsets[1:][left]] - 1]] = False
+    size[left] -= 1
+    return data[keep], np.concatenate(([0], np.cumsum(size)))
 
 
 def _apply(docs: DataFrame, removed: DataFrame) -> DataFrame:
@@ -294,23 +374,26 @@ def _apply(docs: DataFrame, removed: DataFrame) -> DataFrame:
     names = docs.columns
     flat = docs.toDF(*[f"c{i}" for i in range(len(names))])
     key, text = f"c{names.index('doc_id')}", f"c{names.index('text')}"
-    joined = flat.join(removed.toDF("gone_id", "gone"), F.col(key) == F.col("gone_id"), "left").drop("gone_id")
-    lines = F.split(text, "\n", -1)
-    gone = F.coalesce("gone", F.array().cast("array<long>"))
+    gone = removed.groupBy("doc_id").agg(F.collect_set("line").alias("gone")).toDF("gone_id", "gone")
+    joined = flat.join(gone, F.col(key) == F.col("gone_id"), "left").drop("gone_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            said, out = column(batch, text), column(batch, "gone")
-            new = said.to_pylist()
-            for k, g in enumerate(out.to_pylist()):
-                if g and new[k] is not None:
-                    drop = set(g)
-                    new[k] = "\n".join(x for i, x in enumerate(new[k].split("\n")) if i not in drop)
-            at = batch.schema.get_field_index(text)
-            yield batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
-
-    counted = joined.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long")).withColumn("gone", gone).withColumn("n_removed", F.size("gone").cast("long"))
-    return counted.mapInArrow(run, counted.schema).drop("gone")
+        for rows, data, offsets in texts(batches, text, 1 << 20):
+            said, lost = column(rows, text), column(rows, "gone")
+            counts = lost.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+            new, at = without(data, offsets, np.repeat(np.arange(len(counts)), counts), lost.flatten().to_numpy())
+            fresh = as_binary(new, at).cast(pa.string())
+            n_lines = np.diff(np.concatenate(([0], np.cumsum(data == 10)))[offsets]) + 1
+            if said.null_count:
+                null = said.is_null()
+                fresh = pc.if_else(null, pa.scalar(None, pa.string()), fresh)
+                n_lines[null.to_numpy(zero_copy_only=False)] = 0
+            i = rows.schema.get_field_index(text)
+            out = rows.set_column(i, rows.schema.field(i), fresh.cast(rows.schema.field(i).type)).drop_columns(["gone"])
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(n_lines), pa.array(counts)], names=[*out.schema.names, "n_lines", "n_removed"])
+
+    schema = T.StructType([*flat.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
+    return joined.select(*flat.columns, "gone").mapInArrow(run, schema)
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from docmill.llm.common import U, constants, mix
+from docmill.llm.common import U, constants, mix, range_hashes, windows
 
 #: Words of a shingle.
 WORDS = 5
@@ -51,16 +51,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, plain: bool = False) -> t
     if plain:  # the accented capitals of Latin-1 too: 0xC3 0x80 to 0x9E, but the times sign
         wide = np.flatnonzero((data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97) & (data[:-1] == 0xC3)) + 1
         low[wide] += np.uint8(32)
-    low = low.astype(U) + U(1)
-    place = np.arange(len(data)) - np.repeat(begin, np.diff(np.append(begin, len(data)))) if begin[0] == 0 else None
-    if place is None:
-        place = np.empty(len(data), np.int64)
-        place[: begin[0]] = 0
-        place[begin[0] :] = np.arange(begin[0], len(data)) - np.repeat(begin, np.diff(np.append(begin, len(data))))
-    place[~solid] = 0
-    low[~solid] = U(0)
-    low *= powers(int((end - begin).max()))[place]
-    h = mix(np.add.reduceat(low, begin) + (end - begin).astype(U) * U(0xA0761D6478BD642F))
+    h = range_hashes(windows(low), begin, end)
     counts = np.diff(np.searchsorted(begin, offsets))
     return h, counts, begin, end
 
@@ -84,7 +75,7 @@ def shingle_hashes(words: np.ndarray, counts: np.ndarray, size: int = WORDS) ->
         out += padded[start + j] * odd[j]
     for i in np.flatnonzero(short):
         own = words[first[i] : first[i] + counts[i]]
-        out[at[i]] = (own * odd[: len(own)]).sum() + U(len(own) * 0xE7037ED1A0B428DB % 2**64)
+        out[at[i]] = np.sum(own * odd[: len(own)], dtype=U) ^ U(len(own) * 0xE7037ED1A0B428DB % 2**64)
     return mix(out), total
 
 

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.llm.common import U, as_binary, column, mix, partitions, release, stage, texts, utf8
+from docmill.llm.common import U, as_binary, column, mix, partitions, stage, texts, utf8
 from docmill.session import table
 
 LENGTH = 50
@@ -384,14 +384,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     spread = part.mapInArrow(_spread(cells), "cell int, kind int, blob binary")
     met = spread.repartition(parts, "cell").sortWithinPartitions("cell")
     found = stage(met.mapInArrow(_resolve, "doc_id long, start long, n long, key long"), "regions")
-    del spread, met
-    release(spark)
     asked = found.where("key IS NOT NULL").groupBy("doc_id").agg(F.collect_list(F.struct("key", "start", "n")).alias("asked"))
     said = part.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(_extract, "key long, doc_id long, start long, said binary")
     dealt = said.repartition(parts, "key").sortWithinPartitions("key")
     more = stage(dealt.mapInArrow(_index, "doc_id long, start long, n long"), "matches")
-    del asked, said, dealt
-    release(spark)
     marked = found.where("key IS NULL").select("doc_id", "start", "n").unionByName(more).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("marked"))
     out = own.join(marked, "doc_id", "left")
     out = out.withColumn("marked", F.coalesce(F.when(F.col("takes"), F.col("marked")), F.array().cast("array<struct<start:bigint,n:bigint>>")))

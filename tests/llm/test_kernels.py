@@ -52,9 +52,11 @@ def test_bpe_equals_the_library(both):
 
 def test_bpe_classes_hold_for_every_code_point(both):
     codec, library = both
-    points = [*range(0, 0x3000), *range(0x3000, 0xD800, 97), *range(0xE000, 0x110000, 997)]
-    texts = [f"a{chr(p)}b1{chr(p)}.{chr(p)}{chr(p)}" for p in points]
-    assert encoded(codec, texts) == [library.encode_ordinary(t) for t in texts]
+    points = [*range(0xD800), *range(0xE000, 0x110000)]
+    for k in range(0, len(points), 20_000):
+        # a letter joins letters, a number numbers, others others; a blank leads all three
+        texts = [f"a{chr(p)}1{chr(p)}." for p in points[k : k + 20_000]]
+        assert encoded(codec, texts) == library.encode_ordinary_batch(texts)
 
 
 # --- repeated strings -----------------------------------------------------------------

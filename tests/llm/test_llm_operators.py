@@ -98,16 +98,29 @@ def test_substrings(docs, none, spark):
     assert len(out) == 3 and sum(r["n_removed"] > 0 for r in out) <= 1
 
 
+def one_word(p, q):
+    """Whether lines (bytes) of EDIT_BYTES or more differ in one word, a quarter of its line at most."""
+    a, b = (x.split() for x in (p, q))
+    small = lambda w, x: linededup.EDIT_SHARE * len(w) <= len(x)
+    if min(len(p), len(q)) < linededup.EDIT_BYTES or abs(len(a) - len(b)) > 1:
+        return False
+    if len(a) == len(b):
+        return any(a[:k] + a[k + 1 :] == b[:k] + b[k + 1 :] and small(a[k], p) and small(b[k], q) for k in range(len(a)))
+    (a, p), (b, q) = sorted(((a, p), (b, q)), key=lambda x: len(x[0]))
+    return any(b[:k] + b[k + 1 :] == a and small(b[k], q) for k in range(len(b)))
+
+
 def brute_lines(rows):
+    """Lines that are equal, or from MIN_BYTES on similar, or from EDIT_BYTES on one word apart, keep their first."""
     low = lambda b: bytes(c + 32 if 65 <= c <= 90 else c for c in b)
     occ = [(i, j, low(x.strip(" \t\n\r\x0b\x0c").encode())) for i, t in rows if i is not None and t for j, x in enumerate(t.split("\n"))]
-    occ = [x for x in occ if len(x[2]) >= linededup.MIN_BYTES]
+    occ = [x for x in occ if x[2]]
     keys = sorted({s for _, _, s in occ})
-    sets = {s: {s[k : k + 8] for k in range(len(s) - 7)} for s in keys}
+    sets = {s: {s[k : k + 8] for k in range(len(s) - 7)} if len(s) >= linededup.MIN_BYTES else set() for s in keys}
     root = {s: s for s in keys}
     for a in keys:
         for b in keys:
-            if a < b and 100 * len(sets[a] & sets[b]) >= linededup.SIMILAR * len(sets[a] | sets[b]):
+            if a < b and sets[a] and sets[b] and (100 * len(sets[a] & sets[b]) >= linededup.SIMILAR * len(sets[a] | sets[b]) or one_word(a, b)):
                 x, y = root[a], root[b]
                 root = {k: x if v == y else v for k, v in root.items()}
     keep = {}
@@ -242,3 +255,35 @@ def test_pipeline_stages(spark, tmp_path):
         before, docs = docs.count(), spark.read.parquet(str(tmp_path / str(k)))
         assert 0 < docs.count() <= before
     assert docs.where("n_tokens > 0").count() > 0
+
+
+def test_near_duplicates_with_repeated_doc_ids(spark):
+    a, b = prose(60, 80), prose(61, 80)
+    near_b = b.split()
+    near_b[3] = "changed"
+    rows = [(3, a), (5, a), (5, b), (7, " ".join(near_b)), (8, prose(62, 80)), (8, prose(63, 80)), (9, prose(63, 80)), (10, None), (10, a), (11, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(df).collect())
+    assert {(i, c) for i, c, _ in got} - {(10, 10), (11, 11)} == {(3, 3), (5, 3), (7, 3), (8, 8), (9, 8), (10, 3)}
+    wide = df.selectExpr("doc_id", "text", "'x' AS h1", "1 AS gone_id", "2 AS c0")
+    kept = neardup.keep_one(spark, wide, "")
+    assert kept.columns == wide.columns
+    # every text stays once: a with 3, b with 5, and no text is lost for the sake of another one's doc_id
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter([(3, a), (5, b), (8, prose(62, 80)), (8, prose(63, 80)), (10, None), (11, "")])
+
+
+def test_large_mixed_bucket_meets_in_blocks(spark, monkeypatch):
+    from docmill.llm import buckets
+
+    monkeypatch.setattr(buckets, "BLOCK", 3)
+    base = prose(70, 60).split()
+    rnd = random.Random(3)
+    rows = []
+    for i in range(60):
+        words = list(base)
+        for k in rnd.sample(range(60), rnd.randint(0, 4)):
+            words[k] = f"other{i % 7}"
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets, root = brute_components(rows)
+    assert {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(df).collect()} == root
