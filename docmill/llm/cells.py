@@ -76,7 +76,7 @@ def batch_of(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
 
 
 def meet(spread: DataFrame, solve: Callable[[int, int, list[bytes]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """Brings the blobs of each cell together and applies solve(cell, kind, blobs)."""
+    """Brings the blobs of each cell together and applies solve(cell, kind, blobs); results are in order of kinds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, held = (-1, -1), []
@@ -90,7 +90,7 @@ def meet(spread: DataFrame, solve: Callable[[int, int, list[bytes]], Iterator[pa
         if held:
             yield from solve(*own, held)
 
-    return spread.repartition(partitions(spread.sparkSession), "cell").sortWithinPartitions("cell", "kind").mapInArrow(run, schema)
+    return spread.repartition(partitions(spread.sparkSession), "cell").sortWithinPartitions("kind", "cell").mapInArrow(run, schema)
 
 
 def buckets(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

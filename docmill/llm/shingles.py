@@ -79,14 +79,23 @@ def shingle_hashes(words: np.ndarray, counts: np.ndarray, size: int = WORDS) ->
     return mix(out), total
 
 
+def _sort_each(h: np.ndarray, counts: np.ndarray) -> None:
+    """Sorts each run of `counts` hashes in place; many short sorts beat one sort with owners."""
+    ends = np.cumsum(counts)
+    some = counts > 1
+    for a, b in zip((ends - counts)[some].tolist(), ends[some].tolist(), strict=True):
+        h[a:b].sort()
+
+
 def distinct(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct hashes of each text in ascending order, and how many there are."""
-    owner = np.repeat(np.arange(len(counts)), counts)
-    order = np.lexsort((hashes, owner))
-    h, o = hashes[order], owner[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (o[1:] != o[:-1])
-    return h[new], np.bincount(o[new], minlength=len(counts))
+    h = hashes.copy()
+    _sort_each(h, counts)
+    new = np.ones(len(h) + 1, bool)
+    new[1:-1] = h[1:] != h[:-1]
+    new[np.cumsum(counts) - counts] = True
+    new = new[:-1]
+    return h[new], np.diff(np.concatenate(([0], np.cumsum(new)))[np.concatenate(([0], np.cumsum(counts)))])
 
 
 def signatures(hashes: np.ndarray, counts: np.ndarray, size: int, seed: int = 11, step: int = 1 << 15) -> np.ndarray:
@@ -99,7 +108,7 @@ def signatures(hashes: np.ndarray, counts: np.ndarray, size: int, seed: int = 11
     full = np.flatnonzero(counts)
     if not len(full):
         return out
-    factor, add = constants(seed, size).astype(np.uint32) | np.uint32(1), constants(seed + 1, size).astype(np.uint32)
+    one, two = (constants(k, size).astype(np.uint32) | np.uint32(1) for k in (seed, seed + 1))
     low, high = hashes.astype(np.uint32), (hashes >> U(32)).astype(np.uint32)
     at = (np.cumsum(counts) - counts)[full]
     least = np.full((len(full), size), 0xFFFFFFFF, np.uint32)
@@ -109,12 +118,11 @@ def signatures(hashes: np.ndarray, counts: np.ndarray, size: int, seed: int = 11
         i, j = np.searchsorted(at, a, "right") - 1, np.searchsorted(at, b, "left")
         cuts = np.maximum(at[i:j], a) - a
         x, y = low[a:b], high[a:b]
-        for k in range(size):
-            v = x * factor[k]
-            v ^= v >> np.uint32(15)
-            v += y
-            v *= factor[k - 1]
-            v ^= add[k]
+        v, w = np.empty_like(x), np.empty_like(x)
+        for k in range(size):  # a linear function of both halves of the hash
+            np.multiply(x, one[k], out=v)
+            np.multiply(y, two[k], out=w)
+            v += w
             m = np.minimum.reduceat(v, cuts)
             np.minimum(least[i:j, k], m, out=least[i:j, k])
     out[full] = ((least ^ (least >> np.uint32(16))) & np.uint32(0xFFFF)).astype(np.uint16)
@@ -123,9 +131,13 @@ def signatures(hashes: np.ndarray, counts: np.ndarray, size: int, seed: int = 11
 
 def common(h1: np.ndarray, n1: np.ndarray, h2: np.ndarray, n2: np.ndarray) -> np.ndarray:
     """How many hashes the k-th sets of two lists of distinct() sets have in common."""
-    owner = np.concatenate((np.repeat(np.arange(len(n1)), n1), np.repeat(np.arange(len(n2)), n2)))
-    h = np.concatenate((h1, h2))
-    order = np.lexsort((h, owner))
-    h, owner = h[order], owner[order]
-    again = np.flatnonzero((h[1:] == h[:-1]) & (owner[1:] == owner[:-1]))
-    return np.bincount(owner[again], minlength=len(n1))
+    counts = n1 + n2
+    at = np.cumsum(counts) - counts
+    h = np.empty(len(h1) + len(h2), U)
+    h[np.repeat(at - (np.cumsum(n1) - n1), n1) + np.arange(len(h1))] = h1
+    h[np.repeat(at + n1 - (np.cumsum(n2) - n2), n2) + np.arange(len(h2))] = h2
+    _sort_each(h, counts)
+    again = np.zeros(len(h) + 1, bool)
+    again[1:-1] = h[1:] == h[:-1]
+    again[at] = False
+    return np.diff(np.concatenate(([0], np.cumsum(again[:-1])))[np.append(at, len(h))])
