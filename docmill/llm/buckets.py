@@ -28,6 +28,8 @@ from docmill.llm.graph import components
 #: Members of a mixed bucket that meet in one block, and the bytes of their texts.
 BLOCK = 1000
 BLOCK_BYTES = 2 << 20
+#: Pairs that a worker gathers before it tests them.
+PAIRS = 100_000
 #: Bytes of texts that a worker holds at once while it compares members.
 HELD = 1 << 20
 
@@ -83,7 +85,7 @@ def _meet(size: int, distance: int, first_key: FirstKey, sets: Sets, similar: in
         t = t.combine_chunks()
         ident, comp, block, low, i, j, key = (t.column(c).to_numpy() for c in ("id", "comp", "block", "low", "i", "j", "key"))
         sig = _matrix(t.column("sig").combine_chunks(), len(ident), size)
-        own = _split_sets(*utf8(t.column("said")), sets)
+        said = t.column("said").combine_chunks()
         group = np.cumsum(np.append(0, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
         across = i != j
         root: dict[int, int] = {}  # components joined here: no need to test within them
@@ -94,6 +96,20 @@ def _meet(size: int, distance: int, first_key: FirstKey, sets: Sets, similar: in
             return c
 
         links: list[tuple[int, int]] = []
+        near: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def test() -> None:
+            """Tests the pairs in `near` on full sets, which only their rows need."""
+            x, y = (np.concatenate(side) for side in zip(*near, strict=True))
+            near.clear()
+            rows, place = np.unique(np.concatenate((x, y)), return_inverse=True)
+            own = _split_sets(*utf8(said.take(pa.array(rows))), sets)
+            for a, b, k, m in zip(x.tolist(), y.tolist(), place[: len(x)].tolist(), place[len(x) :].tolist(), strict=True):
+                c, e = find(int(comp[a])), find(int(comp[b]))
+                if c != e and _linked(own[k], own[m], similar):
+                    root[max(c, e)] = min(c, e)
+                    links.append((int(ident[a]), int(ident[b])))
+
         at = np.arange(len(ident))
         for d in range(1, len(ident)):
             at = at[at + d < len(ident)]
@@ -103,14 +119,15 @@ def _meet(size: int, distance: int, first_key: FirstKey, sets: Sets, similar: in
             p, q = at, at + d
             want = (comp[p] != comp[q]) & (~across[p] | (block[p] != block[q])) & (ident[p] != low[p]) & (ident[q] != low[p])
             p, q = p[want], q[want]
-            near = (sig[p] != sig[q]).sum(axis=1) <= distance
-            p, q = p[near], q[near]
+            close = np.flatnonzero((sig[p] != sig[q]).sum(axis=1) <= distance)
+            p, q = p[close], q[close]
             first = first_key(sig[p], sig[q]).view(np.int64) == key[p]
-            for x, y in zip(p[first].tolist(), q[first].tolist(), strict=True):
-                c, e = find(int(comp[x])), find(int(comp[y]))
-                if c != e and _linked(own[x], own[y], similar):
-                    root[max(c, e)] = min(c, e)
-                    links.append((int(ident[x]), int(ident[y])))
+            if first.any():
+                near.append((p[first], q[first]))
+                if sum(len(x) for x, _ in near) > PAIRS:
+                    test()
+        if near:
+            test()
         a, b = np.array(links, np.int64).reshape(-1, 2).T
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 

@@ -96,6 +96,11 @@ def meet(spread: DataFrame, solve: Callable[[int, int, list[bytes]], Iterator[pa
 def buckets(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """key, id, low and n of all members of buckets with several ids: the smallest id and their number."""
     key, ident = (np.concatenate(x) for x in zip(*(unpack(b, 2) for b in blobs), strict=True))
+    order = np.argsort(key)
+    again = np.zeros(len(key) + 1, bool)
+    again[1:-1] = key[order[1:]] == key[order[:-1]]
+    order = order[again[1:] | again[:-1]]  # most keys are alone
+    key, ident = key[order], ident[order]
     order = np.lexsort((ident, key))
     key, ident = key[order], ident[order]
     fresh = np.ones(len(key), bool)

@@ -100,6 +100,11 @@ class Lines:
         self.owner, self.number, self.begin, self.end = owner[keep], number[keep], a[keep], b[keep]
         self.digest = range_hashes(self.eight, self.begin, self.end).view(np.int64)
 
+    def words(self) -> Words:
+        """The words of lines that hold anything at all (least 1): no word is outside them."""
+        h, begin, end = shingles.words_in(self.low, self.eight, self.begin)
+        return Words(h, np.diff(np.searchsorted(begin, np.append(self.begin, len(self.low)))), end - begin)
+
     def signatures(self, which: np.ndarray) -> np.ndarray:
         flat, counts = _ranges(self.begin[which], self.end[which] - self.begin[which] - GRAM + 1)
         return shingles.signatures(mix(self.eight[flat]), counts, BANDS * ROWS)
@@ -110,36 +115,43 @@ def _packed(low: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.nda
     return low[flat], np.concatenate(([0], np.cumsum(counts)))
 
 
-def _words(data: np.ndarray, offsets: np.ndarray):
-    """Of lines: counts of words and where each one's begin; of words: owner, number, size, sum of the weighted hashes before it."""
+class Words:
+    """The words of lines, in order: hashes, sizes, owners and places; of lines: how many and the first one's number.
+
+    sums: running totals of the hashes, each weighted by its place in its line.
+    """
+
+    def __init__(self, h: np.ndarray, n: np.ndarray, wide: np.ndarray) -> None:
+        self.n, self.wide = n, wide
+        self.first = np.cumsum(n) - n
+        self.owner = np.repeat(np.arange(len(n)), n)
+        self.place = np.arange(len(h)) - self.first[self.owner]
+        x = h * shingles.powers(int(n.max(initial=0)) + 1)[self.place]
+        self.sums = np.concatenate((np.zeros(1, U), np.cumsum(x, dtype=U)))
+
+
+def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
     h, n, begin, end = shingles.word_hashes(data, offsets)
-    first = np.cumsum(n) - n
-    owner = np.repeat(np.arange(len(n)), n)
-    place = np.arange(len(h)) - first[owner]
-    x = h * shingles.powers(int(n.max(initial=0)) + 1)[place]
-    sums = np.concatenate((np.zeros(1, U), np.cumsum(x, dtype=U)))
-    return n, first, owner, place, end - begin, sums
+    return Words(h, n, end - begin)
 
 
-def half_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Digests of halves of each line and how many it has: lines that differ in one word share one.
+def half_keys(x: Words, long: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Digests of halves of the lines that are `long` and how many each line has: lines that differ in one word share one.
 
     Of n words n // 2 at one end at least are the same; an even n can also meet n - 1 words.
     """
-    n, first, _, _, _, sums = _words(data, offsets)
-    long = (np.diff(offsets) >= EDIT_BYTES) & (n > 0)
-    line = np.repeat(np.flatnonzero(long), 2)
-    size = n[line] // 2
+    line = np.repeat(np.flatnonzero(long & (x.n > 0)), 2)
+    size = x.n[line] // 2
     size[1::2] -= 1
     need = np.ones(len(line), bool)
-    need[1::2] = n[line[1::2]] % 2 == 0
+    need[1::2] = x.n[line[1::2]] % 2 == 0
     line, size = line[need], size[need]
-    back = np.cumprod(np.concatenate((np.ones(1, U), np.full(int(n.max(initial=0)), _BACK, U))))
+    back = np.cumprod(np.concatenate((np.ones(1, U), np.full(int(x.n.max(initial=0)), _BACK, U))))
     tag = mix(size.astype(U) + U(1))
-    a, z = first[line], first[line] + n[line]
-    head = mix((sums[a + size] - sums[a]) ^ tag)
-    tail = mix(((sums[z] - sums[z - size]) * back[n[line] - size]) ^ ~tag)
-    return np.stack((head, tail), axis=1).ravel(), 2 * np.bincount(line, minlength=len(n))
+    a, z = x.first[line], x.first[line] + x.n[line]
+    head = mix((x.sums[a + size] - x.sums[a]) ^ tag)
+    tail = mix(((x.sums[z] - x.sums[z - size]) * back[x.n[line] - size]) ^ ~tag)
+    return np.stack((head, tail), axis=1).ravel(), 2 * np.bincount(line, minlength=len(x.n))
 
 
 def edit_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -148,16 +160,16 @@ def edit_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     A line has for each word the key of the others with its place (whole) and without it
     (not whole), and the key of all its words, as a line that lacks none (whole).
     """
-    n, first, owner, place, wide, sums = _words(data, offsets)
+    x = words_of(data, offsets)
     size = np.diff(offsets)
-    at = np.flatnonzero((size[owner] >= EDIT_BYTES) & (EDIT_SHARE * wide <= size[owner]))
-    who = owner[at]
-    a, z = first[who], first[who] + n[who]
-    rest = (sums[at] - sums[a]) + (sums[z] - sums[at + 1]) * _BACK
-    gone = mix(rest + mix(n[who].astype(U)))
-    there = mix(gone ^ mix(place[at].astype(U) + U(0x632BE59BD9B4E019)))
-    full = np.flatnonzero((size >= EDIT_BYTES) & (n > 0))
-    own = mix((sums[first[full] + n[full]] - sums[first[full]]) + mix((n[full] + 1).astype(U)))
+    at = np.flatnonzero((size[x.owner] >= EDIT_BYTES) & (EDIT_SHARE * x.wide <= size[x.owner]))
+    who = x.owner[at]
+    a, z = x.first[who], x.first[who] + x.n[who]
+    rest = (x.sums[at] - x.sums[a]) + (x.sums[z] - x.sums[at + 1]) * _BACK
+    gone = mix(rest + mix(x.n[who].astype(U)))
+    there = mix(gone ^ mix(x.place[at].astype(U) + U(0x632BE59BD9B4E019)))
+    full = np.flatnonzero((size >= EDIT_BYTES) & (x.n > 0))
+    own = mix((x.sums[x.first[full] + x.n[full]] - x.sums[x.first[full]]) + mix((x.n[full] + 1).astype(U)))
     whole = np.concatenate((np.ones(len(at), bool), np.zeros(len(at), bool), np.ones(len(full), bool)))
     return np.concatenate((who, who, full)), np.concatenate((there, gone, own)), whole
 
@@ -200,8 +212,10 @@ def _spread(count: int):
             if len(h):
                 bands = band_keys(x.signatures(which))
                 held[BAND].append((bands.ravel(), np.repeat(h, BANDS)))
-                keys, n = half_keys(*_packed(x.low, x.begin[which], x.end[which]))
-                held[HALF].append((keys, np.repeat(h, n)))
+                fresh = np.zeros(len(x.digest), bool)
+                fresh[which] = True
+                keys, n = half_keys(x.words(), fresh & (x.end - x.begin >= EDIT_BYTES))
+                held[HALF].append((keys, np.repeat(x.digest, n)))
                 size += bands.size + len(keys)
             size += len(x.digest)
             if size >= cells.HELD:
@@ -378,19 +392,22 @@ def _apply(docs: DataFrame, removed: DataFrame) -> DataFrame:
     joined = flat.join(gone, F.col(key) == F.col("gone_id"), "left").drop("gone_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in texts(batches, text, 1 << 20):
-            said, lost = column(rows, text), column(rows, "gone")
-            counts = lost.value_lengths().fill_null(0).to_numpy().astype(np.int64)
-            new, at = without(data, offsets, np.repeat(np.arange(len(counts)), counts), lost.flatten().to_numpy())
-            fresh = as_binary(new, at).cast(pa.string())
-            n_lines = np.diff(np.concatenate(([0], np.cumsum(data == 10)))[offsets]) + 1
-            if said.null_count:
-                null = said.is_null()
-                fresh = pc.if_else(null, pa.scalar(None, pa.string()), fresh)
-                n_lines[null.to_numpy(zero_copy_only=False)] = 0
-            i = rows.schema.get_field_index(text)
-            out = rows.set_column(i, rows.schema.field(i), fresh.cast(rows.schema.field(i).type)).drop_columns(["gone"])
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(n_lines), pa.array(counts)], names=[*out.schema.names, "n_lines", "n_removed"])
+        for batch in batches:
+            some = batch.column(batch.schema.get_field_index("gone")).is_valid()
+            # most texts stay as they are
+            for rows in (batch.filter(pc.invert(some)), *(x for x, _, _ in texts(iter([batch.filter(some)]), text))):
+                if rows.num_rows:
+                    i = rows.schema.get_field_index(text)
+                    said = rows.column(i)
+                    n_lines = pc.fill_null(pc.add(pc.count_substring(said, "\n"), 1), 0).cast(pa.int64())
+                    lost = column(rows, "gone")
+                    counts = lost.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+                    if counts.any():
+                        new, at = without(*utf8(said), np.repeat(np.arange(len(counts)), counts), lost.flatten().to_numpy())
+                        fresh = as_binary(new, at).cast(said.type)
+                        said = pc.if_else(said.is_null(), pa.scalar(None, said.type), fresh) if said.null_count else fresh
+                    rest = rows.set_column(i, rows.schema.field(i), said).drop_columns(["gone"])
+                    yield pa.RecordBatch.from_arrays([*rest.columns, n_lines, pa.array(counts)], names=[*rest.schema.names, "n_lines", "n_removed"])
 
     schema = T.StructType([*flat.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
     return joined.select(*flat.columns, "gone").mapInArrow(run, schema)

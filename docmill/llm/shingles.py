@@ -34,26 +34,30 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, plain: bool = False) -> t
     A word is a run of bytes other than blank and 0x09 to 0x0D; A-Z count as a-z.
     plain: punctuation ends words too.
     """
-    n = len(offsets) - 1
-    solid = _PLAIN[data] if plain else ~((data == 32) | ((data >= 9) & (data <= 13)))
+    low = lower_ascii(data)
+    if plain:  # the accented capitals of Latin-1 too: 0xC3 0x80 to 0x9E, but the times sign
+        wide = np.flatnonzero((data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97) & (data[:-1] == 0xC3)) + 1
+        low[wide] += np.uint8(32)
+    h, begin, end = words_in(low, windows(low), offsets[:-1], plain)
+    return h, np.diff(np.searchsorted(begin, offsets)), begin, end
+
+
+def words_in(low: np.ndarray, eight: np.ndarray, starts: np.ndarray, plain: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, begin and end of each word. low: lower-case bytes, eight: their windows(), starts: where a word cannot run on."""
+    if not len(low):
+        none = np.zeros(0, np.int64)
+        return none.astype(U), none, none
+    solid = _PLAIN[low] if plain else ~((low == 32) | ((low >= 9) & (low <= 13)))
     opens = solid.copy()
     opens[1:] &= ~solid[:-1]
-    inner = offsets[(offsets > 0) & (offsets < len(data))]
+    inner = starts[starts < len(low)]
     opens[inner] = solid[inner]
     begin = np.flatnonzero(opens)
-    if not len(begin):
-        return np.zeros(0, U), np.zeros(n, np.int64), begin, begin
-    shut = np.empty(len(data), bool)
+    shut = np.empty(len(low), bool)
     shut[:-1] = solid[:-1] & (~solid[1:] | opens[1:])
     shut[-1] = solid[-1]
     end = np.flatnonzero(shut) + 1
-    low = lower_ascii(data)
-    if plain:  # the accented capitals of Latin-1 too: 0xC3 0x80 to 0x9E, but the times sign
-        wide = np.flatnonzero((data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97) & (data[:-1] == 0xC3)) + 1
-        low[wide] += np.uint8(32)
-    h = range_hashes(windows(low), begin, end)
-    counts = np.diff(np.searchsorted(begin, offsets))
-    return h, counts, begin, end
+    return range_hashes(eight, begin, end), begin, end
 
 
 def shingle_hashes(words: np.ndarray, counts: np.ndarray, size: int = WORDS) -> tuple[np.ndarray, np.ndarray]:

@@ -37,7 +37,7 @@ def test_edit_keys_equal_brute_force():
             lines.append(" ".join(new))
     lines = sorted({x for x in lines if x})
     data, offsets = packed(lines)
-    half, n = linededup.half_keys(data, offsets)
+    half, n = linededup.half_keys(linededup.words_of(data, offsets), np.diff(offsets) >= linededup.EDIT_BYTES)
     halves = [set(x.tolist()) for x in np.split(half, np.cumsum(n)[:-1])]
     keys = [{} for _ in lines]
     for k, key, whole in zip(*(x.tolist() for x in linededup.edit_keys(data, offsets)), strict=True):
