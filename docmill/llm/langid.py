@@ -2,13 +2,19 @@
 
 Character n-grams of 1 to 3 code points, padded at word ends, are hashed into a fixed
 number of buckets. Training sums bucket counts per language over a sample of labelled
-rows whose size is bounded by `sample`; the matrix of log-probabilities has
-languages x buckets entries and is broadcast. Scoring hashes whole texts in blocks and
-adds the matrix rows of each text's n-grams (a sparse product, summed by segment).
+rows: at most about `sample` rows of each language, chosen by a hash of doc_id and text,
+each distinct text counted once. So one text that fills a third of the table weighs as
+much as any other, and a rare language is learned on a large table as on a small one. The
+matrix of log-probabilities has languages x buckets entries and is broadcast. Scoring
+hashes whole texts in blocks and adds the matrix rows of each text's n-grams (a sparse
+product, summed by segment).
 
 Cases: a text that is null, empty or without a letter gets `und` and score 0. Ties go
 to the language that sorts first. With no labelled row at all every text is `und`.
-Labels that are null are not learned from. Other columns are not looked at.
+Labels that are null are not learned from. Of more than MAX_LANGUAGES labels, as a dirty
+column can hold, those with the most rows are learned. Repeated rows get one prediction
+each and are learned from once. Texts of any length are read whole. An empty table gives
+an empty result. Other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -26,9 +32,9 @@ from docmill.llm.common import U, column, texts
 from docmill.session import table
 
 BUCKETS = 1 << 15
-#: At most about so many labelled rows are learned from, chosen by a hash of the text.
-SAMPLE_ROWS = 20_000
-#: More labels than this are refused: the matrix must stay small enough to broadcast.
+#: At most about so many labelled rows of each language are learned from.
+SAMPLE_ROWS = 5_000
+#: Labels that are learned at most: the matrix must stay small enough to broadcast.
 MAX_LANGUAGES = 500
 UNDETERMINED = "und"
 ALPHA = 0.5
@@ -37,10 +43,9 @@ ALPHA = 0.5
 @lru_cache(maxsize=1)
 def lowered() -> tuple[np.ndarray, np.ndarray]:
     """For every code point: its lower-case form with non-letters as blanks, and is-letter."""
-    points = np.arange(0x110000, dtype=np.uint32)
     letter = np.zeros(0x110000, bool)
     low = np.full(0x110000, 32, np.uint32)
-    for p in points[:0xD800].tolist() + points[0xE000:0x32000].tolist():
+    for p in range(0x110000):
         c = chr(p)
         if c.isalpha():
             letter[p] = True
@@ -93,8 +98,10 @@ class Model:
     def __init__(self, languages: list[str], weights: np.ndarray, prior: np.ndarray) -> None:
         self.languages, self.weights, self.prior = languages, weights, prior
 
-    def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The index of each text's language (-1: undetermined) and its posterior."""
+    def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The index of each text's language (-1: undetermined), its posterior, and how much likelier
+        an n-gram of the text is in it than in a language of uniform buckets (mean logarithm).
+        """
         grams, counts, letters = features(data, offsets)
         n, k = len(counts), len(self.languages)
         sums = np.zeros((n, k))
@@ -105,22 +112,25 @@ class Model:
                 sums[full, j] = np.add.reduceat(self.weights[j][grams], at)
         sums += self.prior
         if not k:
-            return np.full(n, -1), np.zeros(n)
+            return np.full(n, -1), np.zeros(n), np.zeros(n)
         best = sums.argmax(axis=1)
         top = sums[np.arange(n), best]
         score = 1 / np.exp(sums - top[:, None]).sum(axis=1)
         none = letters == 0
-        return np.where(none, -1, best), np.where(none, 0.0, score)
+        fit = (top - self.prior[best]) / np.maximum(counts, 1) + np.log(BUCKETS)
+        return np.where(none, -1, best), np.where(none, 0.0, score), np.where(none, 0.0, fit)
 
 
-def train(df: DataFrame, text_col: str, lang_col: str, sample: int = SAMPLE_ROWS) -> Model:
-    """Fits the model; only sums per language and bucket reach the driver."""
-    labelled = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    rows = df.where(F.col(lang_col).isNotNull()).count()
-    if rows > sample:
-        labelled = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1e6 * sample / rows) + 1)
-    if labelled.select("lang").distinct().limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+def train(df: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int = SAMPLE_ROWS) -> Model:
+    """Fits the model; only row counts of labels and sums per language and bucket reach the driver."""
+    labelled = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    rows = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    share = {r["lang"]: min(1.0, sample / r["count"]) for r in rows}
+    if not share:
+        return Model([], np.zeros((0, BUCKETS), np.float32), np.zeros(0))
+    limits = F.create_map(*(F.lit(x) for lang, part in share.items() for x in (lang, int(1e9 * part))))
+    chosen = labelled.where(F.pmod(F.xxhash64("id", "text"), F.lit(1_000_000_000)) < F.coalesce(F.try_element_at(limits, F.col("lang")), F.lit(0)))
+    labelled = chosen.withColumn("h", F.xxhash64("text")).dropDuplicates(["lang", "h"]).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -153,23 +163,23 @@ def train(df: DataFrame, text_col: str, lang_col: str, sample: int = SAMPLE_ROWS
 
 
 def predict(df: DataFrame, model: Model, text_col: str) -> DataFrame:
-    """All columns of df with lang_pred and score; df must not have columns of these names."""
+    """All columns of df with lang_pred, score and fit; df must not have columns of these names."""
     shared = df.sparkSession.sparkContext.broadcast((model.languages, model.weights, model.prior))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
         names = pa.array([*own.languages, UNDETERMINED], pa.string())
         for part, data, offsets in texts(batches, text_col):
-            best, score = own.predict(data, offsets)
+            best, score, fit = own.predict(data, offsets)
             lang = names.take(pa.array(np.where(best < 0, len(own.languages), best)))
-            yield pa.RecordBatch.from_arrays([*part.columns, lang, pa.array(score)], names=[*part.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*part.columns, lang, pa.array(score), pa.array(fit)], names=[*part.schema.names, "lang_pred", "score", "fit"])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("fit", T.DoubleType())]))
 
 
 def identify(docs: DataFrame, sample: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every document."""
-    model = train(docs.where(~held_out("doc_id")), "text", "lang", sample)
+    model = train(docs.where(~held_out("doc_id")), "doc_id", "text", "lang", sample)
     slim = docs.select("doc_id", "text")
     out = predict(slim, model, "text")
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
@@ -180,9 +190,14 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents without an identifiable language go."""
-    model = train(docs.where(~held_out("doc_id")), "text", "lang")
+    """Pipeline stage: documents without an identifiable language go.
+
+    That is those without letters (null and empty texts too), and those whose n-grams are less
+    likely in the best language than in one of uniform buckets, as of unknown scripts or noise.
+    Null or repeated doc_ids do no harm, nor do clashing names.
+    """
+    model = train(docs.where(~held_out("doc_id")), "doc_id", "text", "lang")
     # The text is carried through; its prediction decides and is dropped.
     names = docs.columns
     out = predict(docs.toDF(*[f"c{i}" for i in range(len(names))]), model, f"c{names.index('text')}")
-    return out.where(F.col("lang_pred") != UNDETERMINED).drop("lang_pred", "score").toDF(*names)
+    return out.where((F.col("lang_pred") != UNDETERMINED) & (F.col("fit") >= 0)).drop("lang_pred", "score", "fit").toDF(*names)
