@@ -13,9 +13,13 @@ for each block and step; documents are never shuffled. What is sent to the drive
 count per n-gram of the block.
 
 Cases: null or wordless documents and items match nothing, nor do items with a null id;
-an item with fewer words than a seed matches documents with just these words. A document
-holding an item several times is one row with its best score. Repeated items are items of
-their own. Empty tables give an empty result. Other columns are not looked at.
+an item of one or two words matches documents of just these words, and where they are rare
+(RARE) all documents that hold them. A document holding an item several times is one row
+with its best score; rows that repeat a doc_id are judged by themselves. Items of equal
+text and different ids are items of their own; a repeated row of items counts once. Texts
+of any length are read whole, and an alignment holds a few numbers for each word of its
+passage. Empty tables give an empty result. Other columns, whatever their names, are not
+looked at.
 """
 
 from __future__ import annotations
@@ -39,8 +43,9 @@ FOLD = 4
 THRESHOLD = 0.5
 #: Bytes of test items that are broadcast at a time.
 BLOCK = 16 << 20
-#: Alignments computed side by side.
+#: Alignments computed side by side, and words of their passages.
 SIDE = 256
+WIDE = 1 << 18
 #: Bits of the table that sorts out n-grams of no item.
 FILTER = 22
 
@@ -48,7 +53,8 @@ FILTER = 22
 class Items:
     """The words and n-grams of one length of a block of items."""
 
-    def __init__(self, ids: np.ndarray, said: list[str], length: int) -> None:
+    def __init__(self, ids: np.ndarray, said: list[str], length: int, only: bool = False) -> None:
+        """only: items of just `length` words."""
         raw = [x.encode() for x in said]
         offsets = np.concatenate(([0], np.cumsum([len(x) for x in raw]))).astype(np.int64)
         words, counts, _, _ = shingles.word_hashes(np.frombuffer(b"".join(raw), np.uint8), offsets, plain=True)
@@ -57,6 +63,9 @@ class Items:
         self.ids, self.words = ids, np.split(words, np.cumsum(counts)[:-1])
         at = np.concatenate([np.arange(k) for k in n]) if len(n) else np.zeros(0, np.int64)
         item = np.repeat(np.arange(len(n)), n)
+        self.whole = only
+        if only:
+            h, item, at = (x[counts[item] == length] for x in (h, item, at))
         self.use(h, item, at)
 
     def use(self, h: np.ndarray, item: np.ndarray, at: np.ndarray) -> None:
@@ -73,7 +82,8 @@ class Items:
         limit = np.full(len(self.ids), RARE * docs)
         order = np.lexsort((per, self.item))
         items, first, count = np.unique(self.item[order], return_index=True, return_counts=True)
-        limit[items] = np.maximum(limit[items], FOLD * per[order][first + (count - 1) // 2])
+        if not self.whole:  # an item of one or two frequent words is no evidence
+            limit[items] = np.maximum(limit[items], FOLD * per[order][first + (count - 1) // 2])
         keep = per <= limit[self.item]
         self.use(self.h[keep], self.item[keep], self.at[keep])
 
@@ -87,12 +97,24 @@ class Items:
         return where[same], found[same]
 
 
+def _sides(order: np.ndarray, size: list[int]) -> Iterator[list[int]]:
+    """Groups of at most SIDE pairs whose padded passages hold WIDE words or are one pair."""
+    own, wide = [], 0
+    for i in order.tolist():
+        top = max(wide, size[i])
+        if own and (len(own) == SIDE or top * (len(own) + 1) > WIDE):
+            yield own
+            own, top = [], size[i]
+        own, wide = [*own, i], top
+    if own:
+        yield own
+
+
 def align(items: list[np.ndarray], passages: list[np.ndarray]) -> np.ndarray:
     """Smith-Waterman scores of pairs of word lists."""
     out = np.zeros(len(items), np.int64)
-    order = np.argsort([len(x) * 10_000 + len(p) for x, p in zip(items, passages, strict=True)], kind="stable")
-    for a in range(0, len(order), SIDE):
-        own = order[a : a + SIDE]
+    order = np.lexsort(([len(p) for p in passages], [len(x) for x in items]))
+    for own in _sides(order, [len(p) for p in passages]):
         long, wide = max(len(items[i]) for i in own), max(len(passages[i]) for i in own)
         x, p = np.zeros((len(own), long), U), np.ones((len(own), wide), U)
         for k, i in enumerate(own):
@@ -194,14 +216,15 @@ def _match(docs: DataFrame, shared, threshold: float) -> DataFrame:
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, item_id, score (1.0: a whole copy) and n_seeds of every contaminated pair."""
     spark = docs.sparkSession
-    own = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text")
+    own = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text").distinct()
     size = own.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     blocks = max(1, -(-size // BLOCK))
     total = docs.count()
     out = None
     for b in range(blocks):
-        got = own.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).orderBy("item_id").toPandas()
+        got = own.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id").toPandas()
         items = [Items(got["item_id"].to_numpy(np.int64), got["text"].tolist(), n) for n in LENGTHS]
+        items += [x for n in range(1, min(LENGTHS)) if len((x := Items(got["item_id"].to_numpy(np.int64), got["text"].tolist(), n, True)).grams)]
         for x, df in zip(items, _count(docs, spark.sparkContext.broadcast(items)), strict=True):
             x.rare(df, total)
         found = _match(docs, spark.sparkContext.broadcast(items), threshold)
@@ -214,6 +237,12 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that hold a copy of a test item go."""
-    gone = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Pipeline stage: documents that hold a copy of a test item go.
+
+    Rows of one doc_id go together. A null doc_id cannot be named and stays. Clashing names
+    do no harm.
+    """
+    names = docs.columns
+    gone = contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("gone_id")).distinct()
+    flat = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    return flat.join(gone, F.col(f"c{names.index('doc_id')}") == F.col("gone_id"), "left_anti").toDF(*names)
