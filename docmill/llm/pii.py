@@ -5,7 +5,7 @@ ranges, reserved blocks) and permuted under a key within their own format: a car
 a card with a valid check digit, a date stays a date, separators stay in place. The
 permutation is a balanced Feistel network with cycle walking over exactly the set of
 valid values, so it is one-to-one and equal values get equal pseudonyms everywhere,
-whatever the punctuation. E-mail names and secrets are permuted letter for letter and
+whatever the punctuation. Slash dates are read month first where that is a date. E-mail names and secrets are permuted letter for letter and
 digit for digit. Numbers that fail validation are left as they are.
 
 A card is looked for in every run of digits with single blanks or hyphens: each span of 13
@@ -165,6 +165,23 @@ def _ip(s: str, key: bytes) -> str | None:
     return ".".join(map(str, x.to_bytes(4, "big")))
 
 
+def _day(day: datetime.date, key: bytes) -> datetime.date:
+    """The pseudonym of a day: of days 1900 to 2099 another of them, of other days another of those.
+
+    Days of the month up to 12 and above are kept apart. So a pseudonym written month first
+    is read month first again, and one that can only be day first stays so: no two spellings
+    with different days meet.
+    """
+    common = 0 <= day.toordinal() - _FIRST < _DAYS
+    base, size = (_FIRST, _DAYS) if common else (1, datetime.date.max.toordinal())
+    x = day.toordinal() - base
+    while True:
+        x = permute(x, size, key, "date" if common else "far date")
+        new = datetime.date.fromordinal(base + x)
+        if (new.day > 12) == (day.day > 12) and (common or not 0 <= new.toordinal() - _FIRST < _DAYS):
+            return new
+
+
 def _date(s: str, key: bytes) -> str | None:
     numbers = [int(p) for p in re.split(r"[-./]", s)]
     orders = ((0, 1, 2),) if "-" in s else ((2, 1, 0),) if "." in s else ((2, 0, 1), (2, 1, 0))
@@ -173,15 +190,13 @@ def _date(s: str, key: bytes) -> str | None:
             day = datetime.date(numbers[y], numbers[m], numbers[d])
         except ValueError:
             continue
-        if not 0 <= day.toordinal() - _FIRST < _DAYS:
-            return None
-        new = datetime.date.fromordinal(_FIRST + permute(day.toordinal() - _FIRST, _DAYS, key, "date"))
+        new = _day(day, key)
         if "-" in s:
             return new.isoformat()
-        parts = [0, 0, 0]
-        parts[y], parts[m], parts[d] = new.year, new.month, new.day
+        parts = ["", "", ""]
         wide = re.match(r"0?[0-9]{2}[./]|0[0-9]", s) is not None
-        return ("." if "." in s else "/").join(f"{p:0{2 if wide and p < 100 else 1}d}" for p in parts)
+        parts[y], parts[m], parts[d] = f"{new.year:04d}", f"{new.month:0{1 + wide}d}", f"{new.day:0{1 + wide}d}"
+        return ("." if "." in s else "/").join(parts)
     return None
 
 
