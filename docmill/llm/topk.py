@@ -10,7 +10,8 @@ search of every shard starts with it.
 
 Scores are integers, so a bound is rounded down after a slack above the rounding error
 of the float arithmetic. A vector that occurs many times is one point of the tree with
-its smallest k + 1 ids; more can never be among the answers.
+its smallest k + 1 different ids, each with k + 1 of its rows at most; more can never be among
+the answers, whichever of them is the query's own.
 
 Cases: vectors that are null, empty or hold null or non-finite components take no part.
 Ties go to the smaller vec_id. A null vec_id takes no part. A query with fewer than k
@@ -41,6 +42,16 @@ LEAF = 64
 QUERIES = 8192
 
 
+def _few(ids: np.ndarray, keep: int) -> np.ndarray:
+    """Of ascending ids of one point the smallest `keep` different ones, each repeated `keep` times at most."""
+    if len(ids) <= keep:
+        return ids
+    new = np.append(True, ids[1:] != ids[:-1])
+    rank = np.cumsum(new) - 1
+    again = np.arange(len(ids)) - np.flatnonzero(new)[rank]
+    return ids[(rank < keep) & (again < keep)]
+
+
 class Tree:
     """A ball tree over the distinct rows of an integer matrix."""
 
@@ -49,7 +60,7 @@ class Tree:
         order = np.lexsort((ids, which.ravel()))
         count = np.bincount(which.ravel(), minlength=len(self.points))
         first = np.cumsum(count) - count
-        self.ids = [ids[order[a : a + min(n, keep)]] for a, n in zip(first, count, strict=True)]
+        self.ids = [_few(ids[order[a : a + n]], keep) for a, n in zip(first, count, strict=True)]
         self.points = self.points.astype(np.float64)
         self.nodes: list[tuple] = []  # centre, radius, smallest id, left, right, rows
         self._build(np.arange(len(self.points)))
