@@ -30,11 +30,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.llm.common import column, new_folder, stage
+from docmill.llm.common import column, new_folder, partitions, stage
 from docmill.session import table
 
 #: A new archive is begun beyond so many compressed bytes.
 ARCHIVE = 32 << 20
+#: Tasks that read archives, per shuffle partition.
+MOST_TASKS = 8
 #: Bytes read from an archive, and inflated, at a time.
 PIECE = 1 << 18
 #: Payload bytes of the rows handed on at a time.
@@ -147,8 +149,17 @@ def read_stream(pieces: Iterable[bytes]) -> Iterator[dict]:
         yield parse(member)
 
 
+#: Schemes of Hadoop's clients and the ones that Arrow knows for the same stores.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasbs": "abfss", "wasb": "abfs"}
+
+
+def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
+    scheme, colon, rest = uri.partition("://")
+    return pafs.FileSystem.from_uri(SCHEMES.get(scheme, scheme) + colon + rest)
+
+
 def _open(uri: str) -> Iterator[bytes]:
-    fs, path = pafs.FileSystem.from_uri(uri)
+    fs, path = filesystem(uri)
     with fs.open_input_stream(path, compression=None) as f:
         while piece := f.read(PIECE):
             yield piece
@@ -175,7 +186,7 @@ def write(rows: DataFrame, folder: str) -> DataFrame:
     uri = qualified(rows.sparkSession, folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = pafs.FileSystem.from_uri(uri)
+        fs, base = filesystem(uri)
         fs.create_dir(base, recursive=True)
         task = TaskContext.get()
         out, size, count, name = None, 0, 0, ""
@@ -238,8 +249,11 @@ def read(manifest: DataFrame) -> DataFrame:
                 if held:
                     yield rows(held)
 
-    # one archive to a task: the manifest is a few rows
-    return manifest.select("path").repartition("path").mapInArrow(run, READ)
+    # A manifest's rows are small and its archives are not: without a number, adaptive
+    # execution would leave them all to one task.
+    spark = manifest.sparkSession
+    parts = max(1, min(manifest.count(), MOST_TASKS * partitions(spark)))
+    return manifest.select("path").repartition(parts, "path").mapInArrow(run, READ)
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
