@@ -20,9 +20,11 @@ _staged: list[tuple[object, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder in spark.checkpoint.dir; a temporary one where that is unset and all is one process."""
     sc = spark.sparkContext
     set_dir = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not set_dir and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not set_dir:
         set_dir = "file://" + tempfile.mkdtemp(prefix="docmill-")
         atexit.register(_forget, set_dir)
