@@ -22,10 +22,10 @@ Nothing is dropped or sampled. A region that occurs in very many documents is on
 task after step 2.
 
 Cases: a null or empty text has no bytes and loses none. Rows with a null doc_id are
-returned whole and are no one's original. Rows that repeat a doc_id with the same text
-are one document; of different texts under one doc_id the one with the smallest 64-bit
-hash takes part and the others are returned whole. Matches never cross documents. An
-empty table gives an empty result. Other columns are not looked at.
+returned whole and are no one's original. Of rows that share a doc_id none is an original
+of another, but each is one of documents with larger ids. Matches never cross documents.
+An empty table gives an empty result. Texts of any length are read whole; a kernel holds
+some 100 bytes for each of a text's. Other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -37,7 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.llm.common import U, as_binary, column, mix, partitions, stage, texts, utf8
+from docmill.llm.cells import BLOBS, batch_of, cells_for, cut, meet, pack, unpack
+from docmill.llm.common import U, as_binary, column, mix, partitions, range_hashes, stage, texts, utf8, windows
 from docmill.session import table
 
 LENGTH = 50
@@ -46,18 +47,6 @@ ANCHOR = 20
 HELD = 1_000_000
 #: Symbols of one index.
 INDEX = 1 << 20
-#: Cells of regions per shuffle partition; a cell is resolved at once.
-CELLS = 4
-
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 2**64)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(max(n, 1), base, U)
-    out[0] = 1
-    return np.cumprod(out)
-
 
 def regions(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     """Anchor, digest, owner, start in its text and number of strings of every region."""
@@ -65,10 +54,7 @@ def regions(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     none = np.zeros(0, np.int64)
     if n < LENGTH:
         return none.astype(U), none.astype(U), none, none, none
-    x = np.concatenate((data, np.zeros(8, np.uint8))).astype(U)
-    for step in (1, 2, 4):
-        x[: len(x) - step] |= x[step:] << U(8 * step)
-    x = x[: n - 7]
+    x = windows(data)
     m = n - ANCHOR + 1
     g = x[:m] * U(0x9E3779B97F4A7C15) + x[8 : 8 + m] * U(0xC2B2AE3D27D4EB4F) + x[ANCHOR - 8 : ANCHOR - 8 + m] * U(0x165667B19E3779F9)
     g ^= g >> U(29)
@@ -94,43 +80,10 @@ def regions(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     count = np.diff(np.append(first, len(low)))
     begin = place[first]
     owner = np.searchsorted(offsets, begin, "right") - 1
-    total = np.concatenate((np.zeros(1, U), np.cumsum((data.astype(U) + U(1)) * _powers(_BASE, n))))
-    end = begin + count + LENGTH - 1
-    digest = mix((total[end] - total[begin]) * _powers(_INVERSE, n)[begin] + count.astype(U) * U(0xA0761D6478BD642F))
+    digest = range_hashes(x, begin, begin + count + LENGTH - 1)
     return mix(low[first]), digest, owner, begin - offsets[owner], count
 
 
-def _pack(values: np.ndarray) -> bytes:
-    """Unsigned integers in as few bytes each as the largest needs, one plane per byte."""
-    values = values.astype(U)
-    width = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
-    planes = values.view(np.uint8).reshape(-1, 8)[:, :width]
-    return bytes([width]) + np.ascontiguousarray(planes.T).tobytes()
-
-
-def _unpack(raw: memoryview, n: int) -> tuple[np.ndarray, memoryview]:
-    width = raw[0]
-    out = np.zeros((n, 8), np.uint8)
-    out[:, :width] = np.frombuffer(raw[1 : 1 + width * n], np.uint8).reshape(width, n).T
-    return out.view(U).ravel(), raw[1 + width * n :]
-
-
-def _blob(*arrays: np.ndarray, doc: np.ndarray) -> bytes:
-    base = int(doc.min())
-    return len(doc).to_bytes(8, "little") + base.to_bytes(8, "little", signed=True) + _pack(doc - base) + b"".join(map(_pack, arrays))
-
-
-def _unblob(raw: bytes, k: int) -> list[np.ndarray]:
-    n, base = int.from_bytes(raw[:8], "little"), int.from_bytes(raw[8:16], "little", signed=True)
-    rest = memoryview(raw)[16:]
-    doc, rest = _unpack(rest, n)
-    out = [doc.astype(np.int64) + base]
-    for _ in range(k):
-        x, rest = _unpack(rest, n)
-        out.append(x)
-    return out
-
-
 def _owners(anchor: np.ndarray, digest: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The order by anchor, digest and document; where in it a region opens; which are the smallest document's."""
     order = np.lexsort((doc, digest, anchor))
@@ -145,30 +98,29 @@ def _spread(cells: int):
     """Rows (cell, kind, blob): regions for their anchor's cell (kind 0), marked ones for any (kind 1)."""
 
     def flush(held: list[tuple]) -> pa.RecordBatch:
-        anchor, digest, doc, start, count = (np.concatenate(x) for x in zip(*held, strict=True))
+        anchor, digest, doc, version, start, count = (np.concatenate(x) for x in zip(*held, strict=True))
         order, _, least = _owners(anchor, digest, doc)
-        anchor, digest, doc, start, count = (x[order] for x in (anchor, digest, doc, start, count))
+        anchor, digest, doc, version, start, count = (x[order] for x in (anchor, digest, doc, version, start, count))
         out = []
         kept = np.flatnonzero(least)
-        cell = ((anchor[kept] >> U(32)) * U(cells) >> U(32)).astype(np.int64)
-        cuts = np.searchsorted(cell, np.arange(cells + 1))
+        cuts = cut(anchor[kept], cells)
         for c in np.flatnonzero(np.diff(cuts)):
             k = kept[cuts[c] : cuts[c + 1]]
-            out.append((int(c), 0, _blob(anchor[k] & U((1 << 40) - 1), digest[k] >> U(8), start[k], count[k], doc=doc[k])))
+            out.append((int(c), 0, pack(doc[k], version[k], anchor[k], digest[k], start[k], count[k])))
         gone = np.flatnonzero(~least)
         for c, k in enumerate(np.array_split(gone, min(cells, -(-len(gone) // 50_000)) or 1)):
             if len(k):
-                out.append(((c * 7919) % cells, 1, _blob(start[k], count[k], doc=doc[k])))
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())], names=["cell", "kind", "blob"])
+                out.append(((c * 7919) % cells, 1, pack(doc[k], version[k], start[k], count[k])))
+        return batch_of(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for rows, data, offsets in texts(batches, "text"):
-            ids = column(rows, "doc_id").to_numpy()
+            ids, versions = (column(rows, c).to_numpy() for c in ("doc_id", "version"))
             anchor, digest, owner, start, count = regions(data, offsets)
             if not len(anchor):
                 continue
-            held.append((anchor, digest, ids[owner], start, count))
+            held.append((anchor, digest, ids[owner], versions[owner], start, count))
             size += len(anchor)
             if size > HELD:
                 yield flush(held)
@@ -179,45 +131,34 @@ def _spread(cells: int):
     return run
 
 
-def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cell by cell: (doc_id, start, n, key); key is null where the region is marked, else it needs its text."""
+def _resolve(cell: int, kind: int, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """One cell's (doc_id, version, start, n, key); key is null where the region is marked, else it needs its text."""
 
-    def rows(doc: np.ndarray, start: np.ndarray, count: np.ndarray, key: np.ndarray | None) -> pa.RecordBatch:
+    def rows(doc: np.ndarray, version: np.ndarray, start: np.ndarray, count: np.ndarray, key: np.ndarray | None) -> pa.RecordBatch:
         keys = pa.nulls(len(doc), pa.int64()) if key is None else pa.array(key.view(np.int64))
-        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start.astype(np.int64)), pa.array(count.astype(np.int64)), keys], names=["doc_id", "start", "n", "key"])
-
-    def solve(cell: int, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        doc, anchor, digest, start, count = (np.concatenate(x) for x in zip(*(_unblob(b, 4) for b in blobs), strict=True))
-        order, opens, least = _owners(anchor, digest, doc)
-        anchor, doc, start, count = anchor[order], doc[order], start[order], count[order]
-        gone = ~least
-        if gone.any():
-            yield rows(doc[gone], start[gone], count[gone], None)
-        # anchors with several regions, not all of one document
-        first = np.ones(len(anchor), bool)
-        first[1:] = anchor[1:] != anchor[:-1]
-        group = np.cumsum(first) - 1
-        head = np.flatnonzero(first)
-        several = np.add.reduceat(opens.astype(np.int64), head) > 1
-        docs = np.where(least, doc, doc[np.flatnonzero(opens)][np.cumsum(opens) - 1])
-        several &= np.minimum.reduceat(docs, head) < np.maximum.reduceat(docs, head)
-        ask = several[group] & least
-        if ask.any():
-            yield rows(doc[ask], start[ask], count[ask], mix(anchor[ask] ^ (U(cell) << U(40))))
-
-    cell, held = -1, []
-    for batch in batches:
-        for c, kind, blob in zip(*(column(batch, x).to_pylist() for x in ("cell", "kind", "blob")), strict=True):
-            if kind == 1:
-                yield rows(*_unblob(blob, 2), None)
-                continue
-            if c != cell:
-                if held:
-                    yield from solve(cell, held)
-                cell, held = c, []
-            held.append(blob)
-    if held:
-        yield from solve(cell, held)
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(version), pa.array(start), pa.array(count), keys], names=["doc_id", "version", "start", "n", "key"])
+
+    if kind == 1:
+        for blob in blobs:
+            yield rows(*unpack(blob, 4), None)
+        return
+    doc, version, anchor, digest, start, count = (np.concatenate(x) for x in zip(*(unpack(b, 6) for b in blobs), strict=True))
+    order, opens, least = _owners(anchor, digest, doc)
+    anchor, doc, version, start, count = (x[order] for x in (anchor, doc, version, start, count))
+    gone = ~least
+    if gone.any():
+        yield rows(doc[gone], version[gone], start[gone], count[gone], None)
+    # anchors with several regions, not all of one document
+    first = np.ones(len(anchor), bool)
+    first[1:] = anchor[1:] != anchor[:-1]
+    group = np.cumsum(first) - 1
+    head = np.flatnonzero(first)
+    several = np.add.reduceat(opens.astype(np.int64), head) > 1
+    docs = np.where(least, doc, doc[np.flatnonzero(opens)][np.cumsum(opens) - 1])
+    several &= np.minimum.reduceat(docs, head) < np.maximum.reduceat(docs, head)
+    ask = several[group] & least
+    if ask.any():
+        yield rows(doc[ask], version[ask], start[ask], count[ask], anchor[ask])
 
 
 def repeated(data: np.ndarray, offsets: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -300,7 +241,8 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = n + LENGTH - 1
         at = np.cumsum(size) - size
         place = np.repeat(offsets[:-1][owner] + start - at, size) + np.arange(int(size.sum()))
-        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(column(rows, "doc_id").to_numpy()[owner]), pa.array(start), as_binary(data[place], np.append(at, size.sum()))], names=["key", "doc_id", "start", "said"])
+        ids = [pa.array(column(rows, c).to_numpy()[owner]) for c in ("doc_id", "version")]
+        yield pa.RecordBatch.from_arrays([pa.array(key), *ids, pa.array(start), as_binary(data[place], np.append(at, size.sum()))], names=["key", "doc_id", "version", "start", "said"])
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,7 +251,7 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def mark(t: pa.Table) -> pa.RecordBatch:
         t = t.combine_chunks()
         data, offsets = utf8(t.column("said"))
-        doc, start = (t.column(c).to_numpy() for c in ("doc_id", "start"))
+        doc, version, start = (t.column(c).to_numpy() for c in ("doc_id", "version", "start"))
         # strings of different anchors differ, so one index may hold many anchors
         marked = repeated(data, offsets, doc)
         opens = marked.copy()
@@ -319,7 +261,7 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.concatenate(([0], np.cumsum(marked)))
         owner = np.searchsorted(offsets, at, "right") - 1
         stop = np.append(at[1:], len(data))
-        return pa.RecordBatch.from_arrays([pa.array(doc[owner]), pa.array(start[owner] + at - offsets[owner]), pa.array(total[stop] - total[at])], names=["doc_id", "start", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(doc[owner]), pa.array(version[owner]), pa.array(start[owner] + at - offsets[owner]), pa.array(total[stop] - total[at])], names=["doc_id", "version", "start", "n"])
 
     held, size = [], 0
     for batch in batches:
@@ -372,25 +314,22 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (the remaining bytes) of every row."""
     spark = docs.sparkSession
     parts = partitions(spark)
-    own = docs.select("doc_id", "text")
-    part = own.where("doc_id IS NOT NULL AND text IS NOT NULL")
-    # documents with several texts: only the one with the smallest hash takes part
-    own = own.withColumn("takes", F.col("doc_id").isNotNull())
-    clash = part.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("h0"), F.max(F.xxhash64("text")).alias("h1")).where("h0 <> h1").select("doc_id", "h0")
+    own = docs.select("doc_id", "text").withColumn("version", F.lit(0).cast("long"))
+    # texts that share a doc_id are told apart by their hashes
+    shared = own.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("k"), F.min(F.xxhash64("text")).alias("h0"), F.max(F.xxhash64("text")).alias("h1"))
+    clash = shared.where("k > 1 AND h0 <> h1").select("doc_id", F.lit(True).alias("clash"))
     if not clash.isEmpty():
-        part = part.join(clash, "doc_id", "left").where("h0 IS NULL OR h0 = xxhash64(text)").drop("h0")
-        own = own.join(clash, "doc_id", "left").withColumn("takes", F.col("doc_id").isNotNull() & (F.col("h0").isNull() | (F.col("h0") == F.xxhash64("text")))).drop("h0")
-    cells = CELLS * parts
-    spread = part.mapInArrow(_spread(cells), "cell int, kind int, blob binary")
-    met = spread.repartition(parts, "cell").sortWithinPartitions("cell")
-    found = stage(met.mapInArrow(_resolve, "doc_id long, start long, n long, key long"), "regions")
-    asked = found.where("key IS NOT NULL").groupBy("doc_id").agg(F.collect_list(F.struct("key", "start", "n")).alias("asked"))
-    said = part.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(_extract, "key long, doc_id long, start long, said binary")
+        own = own.join(clash, "doc_id", "left").select("doc_id", "text", F.when(F.col("clash"), F.xxhash64("text")).otherwise(F.lit(0)).cast("long").alias("version"))
+    part = own.where("doc_id IS NOT NULL AND text IS NOT NULL")
+    spread = part.mapInArrow(_spread(cells_for(part)), BLOBS)
+    found = stage(meet(spread, _resolve, "doc_id long, version long, start long, n long, key long"), "regions")
+    asked = found.where("key IS NOT NULL").groupBy("doc_id", "version").agg(F.collect_list(F.struct("key", "start", "n")).alias("asked"))
+    said = part.join(asked, ["doc_id", "version"]).select("doc_id", "version", "text", "asked").mapInArrow(_extract, "key long, doc_id long, version long, start long, said binary")
     dealt = said.repartition(parts, "key").sortWithinPartitions("key")
-    more = stage(dealt.mapInArrow(_index, "doc_id long, start long, n long"), "matches")
-    marked = found.where("key IS NULL").select("doc_id", "start", "n").unionByName(more).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("marked"))
-    out = own.join(marked, "doc_id", "left")
-    out = out.withColumn("marked", F.coalesce(F.when(F.col("takes"), F.col("marked")), F.array().cast("array<struct<start:bigint,n:bigint>>")))
+    more = stage(dealt.mapInArrow(_index, "doc_id long, version long, start long, n long"), "matches")
+    marked = found.where("key IS NULL").select("doc_id", "version", "start", "n").unionByName(more).groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", "n")).alias("marked"))
+    out = own.join(marked, ["doc_id", "version"], "left")
+    out = out.withColumn("marked", F.coalesce("marked", F.array().cast("array<struct<start:bigint,n:bigint>>")))
     return out.select("doc_id", "text", "marked").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
