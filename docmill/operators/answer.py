@@ -13,6 +13,7 @@ from docmill.functions import text as X
 REFUSAL = "The provided documents do not contain enough information"
 EMPTY = "The index is empty. No documents have been indexed yet."
 MAX_QUESTION = 2000
+#: Our own wording of the rules; every completion is asked under them.
 SYSTEM = f"""You answer questions from numbered passages of public documents.
 - Use the passages and nothing else.
 - Put the marker of its passage, such as [2], behind every statement.
@@ -58,16 +59,17 @@ def citations(marked: DataFrame, results: DataFrame, registry: DataFrame) -> Dat
     return out.select(
         "query", c("rank").alias("marker"), "document_title", "section_path", "page_start", "page_end", "chunk_id", X.snippet("text").alias("snippet"), url.alias("source_url"), "source_checksum", "source_kind", "source_anchor", "accession_number", "source_start", "source_end",
         X.citation_display(c("document_title"), c("section_path"), c("source_kind"), c("page_start"), c("page_end")).alias("display"),
+        X.location_display(c("section_path"), c("source_kind"), c("page_start"), c("page_end"), c("source_start"), c("source_end")).alias("location"),
     )
 
 
 def ask(questions: DataFrame, retrieve: Callable[[DataFrame], DataFrame], complete: Callable[[DataFrame], DataFrame], registry: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Answers (query, question, text, markers, grounded) and their citations for questions (query, question).
 
-    retrieve: from questions to results. complete: from rows (query, prompt) to (query, text).
+    retrieve: from questions to results. complete: from rows (query, system, prompt) to (query, text).
     """
     results = retrieve(questions)
-    prompts = contexts(results).join(questions, "query").select("query", prompt(F.col("context"), F.col("question")).alias("prompt"))
+    prompts = contexts(results).join(questions, "query").select("query", F.lit(SYSTEM).alias("system"), prompt(F.col("context"), F.col("question")).alias("prompt"))
     counts = results.groupBy("query").agg(F.count("*").alias("n_results"))
     told = questions.join(complete(prompts), "query", "left").join(counts, "query", "left").withColumn("text", F.when(F.coalesce("n_results", F.lit(0)) == 0, EMPTY).otherwise(F.col("text")))
     answers = cited(told, F.coalesce("n_results", F.lit(0)))

@@ -46,7 +46,16 @@ def metrics(judged: DataFrame, gold: DataFrame) -> DataFrame:
     return out.join(F.broadcast(documents))
 
 
-def run_summary(entries: DataFrame, status: str = "extraction_status") -> DataFrame:
-    """Total, succeeded and failed entries."""
-    fine = F.col(status) == "success"
-    return entries.agg(F.count("*").alias("total"), F.count_if(fine).alias("succeeded"), F.count_if(~fine).alias("failed"))
+def ranges_hold(measured: DataFrame) -> DataFrame:
+    """metrics() as they are; an error where a rate is outside 0 to 1 or a count is negative."""
+    row = measured.first()
+    rates = [row["retrieval_hit_rate_at_k"], row["citation_provenance_validity"]]
+    if not all(0 <= x <= 1 for x in rates) or row["question_count"] < 1 or row["corpus_document_count"] < 1:
+        raise ValueError(f"metrics out of range: {row.asDict()}")
+    return measured
+
+
+def run_summary(entries: DataFrame, status: str = "extraction_status", success: str = "success", by: tuple[str, ...] = ()) -> DataFrame:
+    """Total, succeeded and failed entries, of all or of each group."""
+    fine = F.col(status) == success
+    return entries.groupBy(*by).agg(F.count("*").alias("total"), F.count_if(fine).alias("succeeded"), F.count_if(~fine).alias("failed"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docmill.operators import lexical, vector
+from docmill.sources import sinks
 
 RRF = 60
 TOP = 8
@@ -29,34 +30,45 @@ def fuse(legs: list[DataFrame], k: int) -> DataFrame:
 
 
 class Index:
-    """A searchable corpus: chunks (id, text, v) as tables that are replaced as a whole."""
+    """A searchable corpus: chunks (id, text, v), and their postings, statistics and term weights.
 
-    def __init__(self, chunks: DataFrame) -> None:
-        self.chunks = chunks
-        self.posts = lexical.postings(chunks, "id", "text")
-        self.stats = lexical.statistics(chunks, "id", "text")
-        self.weights = lexical.term_weights(self.posts, self.stats)
+    A built index holds all of them as tables that are replaced as a whole; a search then
+    reads the postings of the asked tokens. Over bare chunks they follow from the texts. A
+    chunk without a vector is found by its words alone.
+    """
+
+    def __init__(self, chunks: DataFrame, posts: DataFrame | None = None, stats: DataFrame | None = None, weights: DataFrame | None = None) -> None:
+        self.chunks, self.posts = chunks, posts
+        self.stats = lexical.statistics(chunks, "id", "text") if stats is None else stats
+        self.weights = lexical.term_weights(lexical.frequencies(chunks, "text"), self.stats) if weights is None else weights
 
     @classmethod
     def build(cls, chunks: DataFrame, vectors: DataFrame, path: str) -> Index:
-        """Writes chunks (id, text) and vectors (id, v) as one table and opens it; ids must match one to one."""
+        """Writes chunks (id, text) and vectors (id, v) with their postings and opens them; ids must match one to one."""
         missing = chunks.join(vectors, "id", "left_anti").count() + vectors.join(chunks, "id", "left_anti").count()
         if missing:
             raise ValueError("chunks and vectors must have the same ids")
-        chunks.join(vectors, "id").write.mode("overwrite").parquet(path)
-        return cls.load(chunks.sparkSession, path)
+        spark = chunks.sparkSession
+        sinks.replace(chunks.join(vectors, "id"), f"{path}/chunks")
+        stored = spark.read.parquet(f"{path}/chunks")
+        sinks.replace(lexical.postings(stored, "id", "text"), f"{path}/postings")
+        sinks.replace(lexical.statistics(stored, "id", "text"), f"{path}/statistics")
+        posts, stats = (spark.read.parquet(f"{path}/{x}") for x in ("postings", "statistics"))
+        sinks.replace(lexical.term_weights(posts.groupBy("token").agg(F.count("*").alias("df")), stats), f"{path}/weights")
+        return cls.load(spark, path)
 
     @classmethod
     def load(cls, spark, path: str) -> Index:
-        return cls(spark.read.parquet(path))
+        return cls(*(spark.read.parquet(f"{path}/{x}") for x in ("chunks", "postings", "statistics", "weights")))
 
     def count(self) -> int:
-        return self.chunks.count()
+        return self.chunks.count() if self.posts is None else self.stats.first()["n_docs"]
 
     def search(self, queries: DataFrame, k: int = TOP) -> DataFrame:
         """(query, rank, doc, score) for queries (id, text, v); empty for an empty index."""
         size = pool(self.count(), k)
         by_vector = vector.cosine_top_k(self.chunks.select("id", "v"), queries.select("id", "v"), size)
-        scored = lexical.scores(self.posts, self.weights, self.stats, queries, "id", "text")
-        fused = fuse([by_vector, lexical.top_k(scored, size)], k)
+        asked = lexical.asked_tokens(queries, "id", "text")
+        posts = lexical.postings(self.chunks, "id", "text", asked) if self.posts is None else self.posts
+        fused = fuse([by_vector, lexical.top_k(lexical.scores(posts, self.weights, self.stats, asked), size)], k)
         return fused.join(self.chunks.select(F.col("id").alias("doc")), "doc", "left_semi").select("query", "rank", "doc", "score")

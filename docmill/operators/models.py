@@ -76,16 +76,25 @@ def hashed_embedder(size: int = 64) -> Embedder:
     return embed
 
 
-def quoting_completer(prompt: str) -> str:
+class Completer(Protocol):
+    def __call__(self, system: str, prompt: str) -> str: ...
+
+
+def quoting_completer(system: str, prompt: str) -> str:
     """Stand-in: repeats the first words of one passage with its marker."""
     first = prompt.split("[1]", 1)[-1].split("\n", 1)[-1]
     return f"{first[:80].strip()} [1]."
 
 
-def embed_texts(texts: list[str], embedder: Embedder, batch: int = BATCH, sleep: Callable[[float], None] = time.sleep) -> list[list[float]]:
-    """In order, a batch per request; an error where an answer has another number of vectors."""
-    out: list[list[float]] = []
-    for a in range(0, len(texts), batch):
+def embed_texts(texts: list[str], embedder: Embedder, batch: int = BATCH, sleep: Callable[[float], None] = time.sleep, initial: list[list[float]] | None = None) -> list[list[float]]:
+    """In order, a batch per request; an error where an answer has another number of vectors.
+
+    initial: vectors of the first texts, which are not asked for again.
+    """
+    out: list[list[float]] = list(initial or [])
+    if len(out) > len(texts):
+        raise ValueError("more initial vectors than texts")
+    for a in range(len(out), len(texts), batch):
         part = texts[a : a + batch]
         got = with_retries(lambda part=part: embedder(part), sleep)
         if len(got) != len(part):
@@ -106,16 +115,16 @@ def embed(rows: DataFrame, embedder: Embedder, text_col: str = "embed_text", bat
     return hashed.mapInArrow(run, T.StructType([*hashed.schema.fields, T.StructField("v", T.ArrayType(T.FloatType()))]))
 
 
-def complete(prompts: DataFrame, completer: Callable[[str], str]) -> DataFrame:
-    """(query, text) of rows (query, prompt)."""
+def complete(prompts: DataFrame, completer: Completer) -> DataFrame:
+    """(query, text) of rows (query, system, prompt)."""
     kind = prompts.schema["query"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            told = [with_retries(lambda p=p: completer(p)) for p in part.column(1).to_pylist()]
+            told = [with_retries(lambda s=s, p=p: completer(s, p)) for s, p in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(told, pa.string())], names=["query", "text"])
 
-    return prompts.select("query", "prompt").mapInArrow(run, f"query {kind}, text string")
+    return prompts.select("query", "system", "prompt").mapInArrow(run, f"query {kind}, text string")
 
 
 def run_id(now: time.struct_time | None = None) -> str:

@@ -9,7 +9,7 @@ from docmill.functions import text as X
 
 #: Fixed values.
 KINDS = ("court_pdf", "sec_html")
-REQUIRED = ("document_id", "local_filename", "jurisdiction", "legal_topic", "source_url", "source_kind", "year")
+REQUIRED = ("local_filename", "display_name", "case_name", "docket_number", "court", "jurisdiction", "legal_topic", "year")
 FILING_FIELDS = ("company_name", "form_type", "accession_number", "filing_date", "exhibit_identity")
 FACETS = ("source_kind", "company_name", "form_type", "court", "year", "legal_topic")
 
@@ -25,8 +25,8 @@ def problems(registry: DataFrame) -> DataFrame:
 
 
 def load(registry: DataFrame) -> DataFrame:
-    """The registry with lower-case ids; an error where it is empty, broken or has an id twice."""
-    rows = problems(registry.withColumn("document_id", F.lower("document_id")))
+    """The registry with lower-case ids and the default kind; an error where it is empty, broken or has an id twice."""
+    rows = problems(registry.withColumn("document_id", F.lower("document_id")).withColumn("source_kind", F.coalesce("source_kind", F.lit(KINDS[0]))))
     bad = rows.where(F.size("problems") > 0).select("document_id", "problems").limit(5).collect()
     if bad:
         raise ValueError(f"invalid registry rows: {[(r.document_id, r.problems) for r in bad]}")
@@ -39,26 +39,31 @@ def load(registry: DataFrame) -> DataFrame:
 
 
 def titled(records: DataFrame, registry: DataFrame) -> DataFrame:
-    """Adds title to records with file_name: display name, case name, else the file name; empty ones count as missing."""
-    name = F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in ("display_name", "case_name")])
+    """Adds title to records with file_name: display name, case name, title, else the file name; empty ones count as missing."""
+    name = F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in ("display_name", "case_name", "title") if c in registry.columns])
     titles = registry.select(F.col("local_filename").alias("file_name"), name.alias("_title")).dropDuplicates(["file_name"])
     return records.join(titles, "file_name", "left").withColumn("title", F.coalesce("_title", "file_name")).drop("_title")
 
 
+def unknown(wanted: DataFrame, registry: DataFrame) -> DataFrame:
+    """Rows of wanted (document_id) that the registry does not have."""
+    return wanted.join(registry.select("document_id").distinct(), "document_id", "left_anti")
+
+
 def require(wanted: DataFrame, registry: DataFrame) -> DataFrame:
     """wanted (document_id) joined with the registry; an error where one is unknown."""
     ids = wanted.withColumn("document_id", F.lower("document_id"))
-    missing = ids.join(registry, "document_id", "left_anti").limit(5).collect()
+    missing = unknown(ids, registry).limit(5).collect()
     if missing:
         raise KeyError(f"unknown documents: {[r.document_id for r in missing]}")
     return ids.join(registry, "document_id")
 
 
-def browse(registry: DataFrame, **wanted: object) -> DataFrame:
+def browse(registry: DataFrame, columns: tuple[str, ...] = FACETS, **wanted: object) -> DataFrame:
     """Rows that equal every given facet; an empty value is no condition; years compare as text."""
     out = registry
     for facet, value in wanted.items():
-        if facet not in FACETS:
+        if facet not in columns:
             raise ValueError(f"unknown facet {facet}")
         if value not in (None, ""):
             out = out.where(F.col(facet).cast("string") == str(value))

@@ -49,11 +49,7 @@ TOKENS = r"regexp_extract_all(lower(coalesce({}, '')), '([a-z0-9§]+(?:[.\-()][a
 @query("SELECT doc_id, lang, source, n_chars FROM documents WHERE lang = 'en' AND source = 'src3'")
 def browse_filter(spark, d):
     rows = table(spark, d, "documents")
-    asked = {"lang": "en", "source": "src3", "n_chars": ""}
-    out = rows
-    for column, value in asked.items():
-        if value != "":
-            out = out.where(F.col(column) == value)
+    out = registry.browse(rows, ("lang", "source", "n_chars"), lang="en", source="src3", n_chars="")
     return out.select("doc_id", "lang", "source", "n_chars")
 
 
@@ -85,8 +81,8 @@ def provenance_left_join(spark, d):
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
 def registry_anti(spark, d):
-    done = table(spark, d, "labels").select("doc_id").distinct()
-    return table(spark, d, "documents").select("doc_id").join(done, "doc_id", "left_anti")
+    known, wanted = (table(spark, d, t).select(F.col("doc_id").alias("document_id")) for t in ("labels", "documents"))
+    return registry.unknown(wanted, known).select(F.col("document_id").alias("doc_id"))
 
 
 @query("SELECT doc_id, sha256(coalesce(text, '')) AS document_id FROM documents")
@@ -100,21 +96,23 @@ def duplicate_ids(spark, d):
     return ids.groupBy("document_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1")
 
 
-@query("""
-WITH a AS (SELECT source, doc_id AS k, sha256(coalesce(text, '')) AS h FROM documents),
-b AS (SELECT source, k >> 10 AS k, sha256(string_agg(h, '' ORDER BY k, h)) AS h FROM a GROUP BY source, k >> 10),
-c AS (SELECT source, k >> 10 AS k, sha256(string_agg(h, '' ORDER BY k, h)) AS h FROM b GROUP BY source, k >> 10),
-e AS (SELECT source, k >> 10 AS k, sha256(string_agg(h, '' ORDER BY k, h)) AS h FROM c GROUP BY source, k >> 10)
-SELECT source, sha256(string_agg(h, '' ORDER BY k, h)) AS fingerprint FROM e GROUP BY source""")
+FOLDS = ",".join(f"l{i} AS (SELECT source, k >> 10 AS k, sha256(string_agg(h, '' ORDER BY k, h)) AS h FROM l{i - 1} GROUP BY source, k >> 10)" for i in range(1, 7))
+
+
+@query(f"WITH l0 AS (SELECT source, doc_id AS k, sha256(coalesce(text, '')) AS h FROM documents), {FOLDS} SELECT source, sha256(string_agg(h, '' ORDER BY k, h)) AS fingerprint FROM l6 GROUP BY source")
 def corpus_fingerprint(spark, d):
-    """Digest of each source's texts in order, as a tree: no task gathers more than 1024 digests of a source."""
+    """Digest of each source's texts in order, as a tree of 10 bits of the id a level.
+
+    Six levels leave at most 16 digests of a source whatever the ids are; no task gathers more
+    than 1024 where ids differ. files.flat_fingerprint() gives the digest of one long text.
+    """
     level = table(spark, d, "documents").select("source", F.col("doc_id").alias("k"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"))
 
     def fold(rows: DataFrame, *keys) -> DataFrame:
         ordered = F.array_sort(F.collect_list(F.struct("k", "h")))
         return rows.groupBy(*keys).agg(F.sha2(F.array_join(F.transform(ordered, lambda x: x["h"]), ""), 256).alias("h"))
 
-    for _ in range(3):
+    for _ in range(6):
         level = fold(level, "source", F.shiftright("k", 10).alias("up")).withColumnRenamed("up", "k")
     return fold(level, "source").withColumnRenamed("h", "fingerprint")
 
@@ -141,16 +139,16 @@ sc AS (SELECT query, doc_id AS doc, round(sum(times * idf * tf * 2.5 / (tf + 1.5
 @query(f"WITH {BM25} SELECT token, df::BIGINT AS df, round(idf, 9) AS idf FROM w")
 def bm25_stats(spark, d):
     docs = table(spark, d, "documents")
-    weights = lexical.term_weights(lexical.postings(docs, "doc_id", "text"), lexical.statistics(docs, "doc_id", "text"))
+    weights = lexical.term_weights(lexical.frequencies(docs, "text"), lexical.statistics(docs, "doc_id", "text"))
     return weights.select("token", "df", F.round("idf", 9).alias("idf"))
 
 
 @query(f"WITH {BM25}, r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc)::INT AS rank FROM sc) SELECT query, rank, doc, score FROM r WHERE rank <= 10 AND score > 0")
 def bm25_topk(spark, d):
     docs = table(spark, d, "documents")
-    posts, stats = lexical.postings(docs, "doc_id", "text"), lexical.statistics(docs, "doc_id", "text")
-    scored = lexical.scores(posts, lexical.term_weights(posts, stats), stats, table(spark, d, "benchmark"), "item_id", "text")
-    return lexical.top_k(scored, 10)
+    asked, stats = lexical.asked_tokens(table(spark, d, "benchmark"), "item_id", "text"), lexical.statistics(docs, "doc_id", "text")
+    weights = lexical.term_weights(lexical.frequencies(docs, "text"), stats)
+    return lexical.top_k(lexical.scores(lexical.postings(docs, "doc_id", "text", asked), weights, stats, asked), 10)
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -177,10 +175,10 @@ def hit_rate_at_k(spark, d):
 
 
 HYBRID = f"""
-c AS (SELECT d.doc_id AS id, d.text, e.embedding FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id),
-bq AS (SELECT b.item_id AS id, b.text, e.embedding FROM benchmark b JOIN embeddings e ON b.item_id = e.vec_id),
+c AS (SELECT d.doc_id AS id, d.text, e.embedding FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id),
+bq AS (SELECT b.item_id AS id, b.text, e.embedding FROM benchmark b LEFT JOIN embeddings e ON b.item_id = e.vec_id),
 k AS (SELECT least(count(*), 24) AS pool FROM c),
-v AS (SELECT q.id AS query, c.id AS doc, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS score FROM bq q, c),
+v AS (SELECT q.id AS query, c.id AS doc, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS score FROM bq q, c WHERE q.embedding IS NOT NULL AND c.embedding IS NOT NULL),
 vr AS (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank, 0 AS leg FROM v),
 {BM25.replace('FROM documents)', 'FROM (SELECT id AS doc_id, text FROM c))', 1).replace('FROM benchmark)', 'FROM (SELECT id AS item_id, text FROM bq))', 1)},
 lr AS (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank, 1 AS leg, score FROM sc),
@@ -191,8 +189,8 @@ fr AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, seen
 
 def _hybrid(spark: SparkSession, d: str) -> DataFrame:
     v = _vectors(spark, d).select("id", "v")
-    chunks = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text").join(v, "id")
-    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text").join(v, "id")
+    chunks = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text").join(v, "id", "left")
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text").join(v, "id", "left")
     return hybrid.Index(chunks).search(asked, 8)
 
 
@@ -306,7 +304,9 @@ def citation_validity(spark, d):
 
 @query("SELECT count(DISTINCT doc_id)::BIGINT AS corpus_document_count, count(*)::BIGINT AS question_count FROM labels")
 def distinct_expected(spark, d):
-    return table(spark, d, "labels").agg(F.count_distinct("doc_id").alias("corpus_document_count"), F.count("*").alias("question_count"))
+    gold = table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("question_id"), F.array(F.col("doc_id").cast("string")).alias("expected_document_ids"))
+    judged = gold.select("question_id", F.lit(True).alias("retrieval_hit"), F.lit(True).alias("citation_provenance_valid"))
+    return evaluate.metrics(judged, gold).select("corpus_document_count", "question_count")
 
 
 @query("""
@@ -325,18 +325,15 @@ def evaluation_metrics(spark, d):
 
 @query("SELECT user_id, count(*)::BIGINT AS total, (count(*) FILTER (event_type = 'click'))::BIGINT AS succeeded, (count(*) FILTER (event_type <> 'click'))::BIGINT AS failed FROM events GROUP BY user_id")
 def run_summary(spark, d):
-    fine = F.col("event_type") == "click"
-    return table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("total"), F.count_if(fine).alias("succeeded"), F.count_if(~fine).alias("failed"))
+    return evaluate.run_summary(table(spark, d, "events"), "event_type", "click", ("user_id",))
 
 
 # --- chunks ---------------------------------------------------------------------------
 
 
-@query("SELECT count(*)::BIGINT AS n_over, arg_max(doc_id, length(text) * 1000000 - doc_id)::VARCHAR AS largest_id, max(length(text))::INT AS largest_chars FROM documents WHERE length(text) > 8000")
+@query("SELECT count(*)::BIGINT AS n_over, (SELECT doc_id::VARCHAR FROM documents WHERE length(text) > 8000 ORDER BY length(text) DESC, doc_id::VARCHAR LIMIT 1) AS largest_id, max(length(text))::INT AS largest_chars FROM documents WHERE length(text) > 8000")
 def embed_gate(spark, d):
-    big = table(spark, d, "documents").where(F.length("text") > chunking.EMBED_LIMIT)
-    size = F.length("text").cast("long")
-    return big.agg(F.count("*").alias("n_over"), F.max_by("doc_id", size * 1000000 - F.col("doc_id")).cast("string").alias("largest_id"), F.max(F.length("text")).alias("largest_chars"))
+    return chunking.oversize(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("text").alias("embed_text")))
 
 
 @query("SELECT doc_id, sha256(source || ' › ' || lang || ' › body' || chr(10) || chr(10) || text) AS embed_sha256, length(source || ' › ' || lang || ' › body' || chr(10) || chr(10) || text)::INT AS n FROM documents")
@@ -356,9 +353,15 @@ def suffix_path(spark, d):
     return docs.select("doc_id", F.array_join(fit, "|").alias("path"))
 
 
-@query(rf"SELECT doc_id, pos::INT AS pos FROM {LINES} WHERE length(trim(line)) <= 4 AND regexp_matches(replace(trim(line), '.', ''), '^[0-9]+$')")
+#: Every ninth line is a number as footnotes have it, or (every 27th) one too long for that.
+NOTES = f"(SELECT doc_id, pos, CASE WHEN pos % 27 = 0 THEN '12345.' WHEN pos % 9 = 0 THEN ' ' || pos || '.' ELSE line END AS line FROM {LINES})"
+
+
+@query(rf"SELECT doc_id, pos::INT AS pos FROM {NOTES} WHERE length(trim(line)) <= 4 AND regexp_matches(replace(trim(line), '.', ''), '^[0-9]+$')")
 def footnote_filter(spark, d):
-    return lines(spark, d).where(X.footnote_marker("line")).select("doc_id", "pos")
+    pos = F.col("pos")
+    noted = lines(spark, d).withColumn("line", F.when(pos % 27 == 0, "12345.").when(pos % 9 == 0, F.concat(F.lit(" "), pos, F.lit("."))).otherwise(F.col("line")))
+    return noted.where(X.footnote_marker("line")).select("doc_id", "pos")
 
 
 #: Lines get a role by position: every fifth is a running header, the first a title.
@@ -395,27 +398,43 @@ def _ordered(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {ORDER} SELECT doc_id, pos::INT AS pos, CASE WHEN role = 'title' THEN 'heading-' ELSE 'para-' END || place AS element_id FROM o")
 def element_ids(spark, d):
-    name = F.when(F.col("role").isin(*outline.HEADINGS), "heading-").otherwise("para-")
-    return _ordered(spark, d).select("doc_id", "pos", F.concat(name, "place").alias("element_id"))
+    """Through the outline itself, which reads paragraphs by page and height; offsets stand for positions."""
+    pos, none = F.col("pos"), lambda kind: F.lit(None).cast(kind)
+    polygon = F.array(F.lit(0.0), ((pos * 37) % 11).cast("double") + 1, F.lit(1.0), ((pos * 37) % 11).cast("double"))
+    paragraph = F.struct(
+        pos.alias("seq"), F.col("line").alias("text"), "role", (F.lit(1) + F.floor(pos / 40)).cast("int").alias("page_number"), none("string").alias("source_anchor"), pos.cast("int").alias("source_start"), none("int").alias("source_end"),
+        F.array(F.struct(F.lit(1).alias("page_number"), polygon.alias("polygon"))).alias("bounding_regions"),
+    )
+    docs = _roles(lines(spark, d)).groupBy("doc_id").agg(F.array_sort(F.collect_list(paragraph)).alias("paragraphs")).withColumn("tables", F.array().cast("array<string>"))
+    return outline.outlines(docs, ["doc_id"]).select("doc_id", F.explode("elements").alias("e")).select("doc_id", F.col("e.source_start").alias("pos"), "e.element_id")
 
 
 @query("""
 SELECT l_orderkey, string_agg(row_text, chr(10) ORDER BY l_linenumber, row_text) AS table_text FROM (
   SELECT l_orderkey, l_linenumber, l_returnflag || ' | ' || l_linestatus || ' | ' || l_quantity::BIGINT AS row_text FROM lineitem) GROUP BY l_orderkey""")
 def table_serialize(spark, d):
-    cells = F.array_join(F.array("l_returnflag", "l_linestatus", F.col("l_quantity").cast("long").cast("string")), " | ")
-    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", cells.alias("row_text"))
+    row = F.struct("l_linenumber", F.concat_ws(" | ", "l_returnflag", "l_linestatus", F.col("l_quantity").cast("long")).alias("said"), "l_returnflag", "l_linestatus", F.col("l_quantity").cast("long").cast("string").alias("quantity"))
     # an order holds at most a few lines
-    ordered = F.array_sort(F.collect_list(F.struct("l_linenumber", "row_text")))
-    return rows.groupBy("l_orderkey").agg(F.array_join(F.transform(ordered, lambda x: x["row_text"]), "\n").alias("table_text"))
+    ordered = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(row)).alias("r"))
 
+    def cell(i, column: int, text):
+        return F.struct(i.alias("row_index"), F.lit(column).alias("column_index"), text.alias("text"))
 
-@query("""
-SELECT l_suppkey, l_orderkey, l_linenumber, expected FROM (SELECT *, lag(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) + 1 AS expected FROM lineitem WHERE l_partkey % 5 <> 0)
-WHERE expected <> l_linenumber""")
+    cells = F.flatten(F.transform("r", lambda x, i: F.array(cell(i, 2, x["quantity"]), cell(i, 0, x["l_returnflag"]), cell(i, 1, x["l_linestatus"]))))
+    return map_documents(ordered.select("l_orderkey", cells.alias("cells")), "cells", lambda c: {"table_text": chunking.table_text(c)}, "table_text string", ["l_orderkey"])
+
+
+#: Numbers of lines, with one left out behind the second line of every third order.
+GAPS = "(SELECT *, l_linenumber + CASE WHEN l_orderkey % 3 = 0 AND l_linenumber > 2 THEN 1 ELSE 0 END AS number FROM lineitem)"
+
+
+@query(f"""
+SELECT l_suppkey, l_orderkey, number::INT AS number, expected::INT AS expected FROM (SELECT *, lag(number) OVER (PARTITION BY l_orderkey ORDER BY number, l_partkey, l_suppkey) + 1 AS expected FROM {GAPS})
+WHERE expected <> number""")
 def successor_check(spark, d):
-    rows = table(spark, d, "lineitem").where("l_partkey % 5 <> 0").withColumn("pos", F.struct("l_linenumber", "l_partkey", "l_suppkey"))
-    return validate.successor_gaps(rows, ["l_orderkey"], "pos", "l_linenumber").select("l_suppkey", "l_orderkey", "l_linenumber", "expected")
+    number = F.col("l_linenumber") + F.when((F.col("l_orderkey") % 3 == 0) & (F.col("l_linenumber") > 2), 1).otherwise(0)
+    rows = table(spark, d, "lineitem").withColumn("number", number).withColumn("pos", F.struct("number", "l_partkey", "l_suppkey"))
+    return validate.successor_gaps(rows, ["l_orderkey"], "pos", "number").select("l_suppkey", "l_orderkey", "number", "expected")
 
 
 PACK = rf"""
@@ -476,10 +495,11 @@ def outline_sections(spark, d):
     return made.select("doc_id", F.explode("sections").alias("s"), F.size("warnings").alias("n_warnings")).select("doc_id", "s.section_id", "s.parent_section_id", "s.level", F.array_join("s.path", " › ").alias("path"), F.size("s.content").alias("n_content"), "n_warnings")
 
 
-@query()
+@query("SELECT page_id, 'V-10' AS rule FROM pages WHERE page_id % 3 = 0 UNION ALL SELECT page_id, 'V-02' FROM pages WHERE page_id % 4 = 0")
 def filing_records(spark, d):
-    """Pages as filings: parsed, outlined, checked; violations per page."""
-    return validate.violations(_records(spark, d))
+    """Pages as filings: parsed, outlined, checked. Every third has no address, every fourth a page too many; no other rule is broken."""
+    odd = _records(spark, d).withColumn("canonical_url", F.when(F.col("page_id") % 3 != 0, F.col("canonical_url"))).withColumn("page_count", F.when(F.col("page_id") % 4 == 0, 2).otherwise(1))
+    return validate.violations(odd).select(F.col("document_id").cast("long").alias("page_id"), "rule")
 
 
 @query()
@@ -489,8 +509,8 @@ def filing_chunks(spark, d):
 
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
-    raw = parse_filings(table(spark, d, "pages").select(F.sha2(F.coalesce("html", F.lit("")), 256).alias("document_id"), F.col("url").alias("canonical_url"), "html"), "html", ["document_id", "canonical_url"])
-    made = outline.outlines(raw, ["document_id", "canonical_url", "pages"])
+    raw = parse_filings(table(spark, d, "pages").select("page_id", F.col("page_id").cast("string").alias("document_id"), F.col("url").alias("canonical_url"), "html"), "html", ["page_id", "document_id", "canonical_url"])
+    made = outline.outlines(raw, ["page_id", "document_id", "canonical_url", "pages"])
     return made.withColumn("page_count", F.lit(1)).withColumn("filing", F.lit(True))
 
 

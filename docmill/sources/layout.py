@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docmill.operators.models import RateLimited, wait_of
 from docmill.schemas import RAW
 from docmill.sources.html import map_documents
 
 #: The service's roles and ours; all others are text.
 ROLES = {"title": "title", "sectionHeading": "section_heading", "pageHeader": "page_header", "pageFooter": "page_footer", "footnote": "footnote"}
 
+#: Repeated calls, and seconds before the first of them.
+RETRIES = 3
+BACKOFF = 2.0
+
 _REGIONS = "array<struct<pageNumber:int,polygon:array<double>>>"
 _SPANS = "array<struct<offset:int,length:int>>"
 RESULT = (
@@ -69,17 +75,26 @@ def raw_documents(results: DataFrame) -> DataFrame:
     return results.select(*rest, F.col("modelId").alias("model_id"), F.col("apiVersion").alias("api_version"), over("pages", page, kinds["pages"]).alias("pages"), over("paragraphs", paragraph, kinds["paragraphs"]).alias("paragraphs"), over("tables", table, kinds["tables"]).alias("tables"))
 
 
-def extract(sources: DataFrame, analyze: Callable[[bytes], dict]) -> DataFrame:
+def extract(sources: DataFrame, analyze: Callable[[bytes], dict], retries: int = RETRIES, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
     """Runs a layout service on accepted sources; its failures are rows with error_type, not exceptions.
 
-    analyze: from bytes to a raw document (see schemas.RAW). It runs on the executors.
+    analyze: from bytes to a raw document (see schemas.RAW). It runs on the executors. Calls that
+    lose their connection or are told to wait are repeated, with waits that double. seconds is
+    what a document took.
     """
 
     def one(content: bytes) -> dict:
         empty = {"model_id": None, "api_version": None, "pages": [], "paragraphs": [], "tables": [], "error_type": None}
-        try:
-            return empty | analyze(content)
-        except Exception as error:  # noqa: BLE001  any failure belongs to its document
-            return empty | {"error_type": type(error).__name__}
-
-    return map_documents(sources, "content", one, f"{RAW}, error_type string", [c for c in sources.columns if c not in ("content", "error_type")])
+        began = time.monotonic()
+        for n in range(retries + 1):
+            try:
+                got = empty | analyze(content)
+            except Exception as error:  # noqa: BLE001  any failure belongs to its document
+                if n < retries and isinstance(error, (ConnectionError, TimeoutError, RateLimited)):
+                    sleep(wait_of(error) if isinstance(error, RateLimited) else BACKOFF * 2**n)
+                    continue
+                got = empty | {"error_type": type(error).__name__}
+            break
+        return got | {"seconds": time.monotonic() - began}
+
+    return map_documents(sources, "content", one, f"{RAW}, error_type string, seconds double", [c for c in sources.columns if c not in ("content", "error_type")])

@@ -1,5 +1,8 @@
 """Operators on small DataFrames."""
 
+import hashlib
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,11 +95,11 @@ def test_answers(spark):
 
 
 def test_registry(spark):
-    schema = "document_id string, local_filename string, display_name string, case_name string, jurisdiction string, legal_topic string, source_url string, source_kind string, year int, company_name string, form_type string, accession_number string, filing_date string, exhibit_identity string, court string"
-    row = ("A" * 64, "a.pdf", "", "Case", "DE", "mergers", "https://e.org/a.pdf", "court_pdf", 2020, None, None, None, None, None, "Chancery")
+    schema = "document_id string, local_filename string, display_name string, case_name string, jurisdiction string, legal_topic string, source_url string, source_kind string, year int, company_name string, form_type string, accession_number string, filing_date string, exhibit_identity string, court string, docket_number string, title string"
+    row = ("A" * 64, "a.pdf", "Name", "Case", "DE", "mergers", "https://e.org/a.pdf", "court_pdf", 2020, None, None, None, None, None, "Chancery", "No. 1", "Title")
     rows = registry.load(spark.createDataFrame([row], schema))
     assert rows.first()["document_id"] == "a" * 64
-    for change in ({6: "http://e.org"}, {0: "xyz"}, {7: "other"}, {7: "sec_html"}):
+    for change in ({6: "http://e.org"}, {0: "xyz"}, {7: "other"}, {7: "sec_html"}, {2: ""}, {3: None}, {14: " "}, {15: None}):
         bad = tuple(change.get(i, v) for i, v in enumerate(row))
         with pytest.raises(ValueError):
             registry.load(spark.createDataFrame([bad], schema))
@@ -104,8 +107,11 @@ def test_registry(spark):
         registry.load(spark.createDataFrame([row, row], schema))
     with pytest.raises(KeyError):
         registry.require(spark.createDataFrame([("b" * 64,)], "document_id string"), rows)
-    titled = registry.titled(spark.createDataFrame([("a.pdf",), ("z.pdf",)], "file_name string"), rows)
-    assert {r["file_name"]: r["title"] for r in titled.collect()} == {"a.pdf": "Case", "z.pdf": "z.pdf"}
+    named = lambda *names: spark.createDataFrame([("a.pdf", *names)], "local_filename string, display_name string, case_name string, title string")
+    asked = spark.createDataFrame([("a.pdf",), ("z.pdf",)], "file_name string")
+    for names, want in ((("Name", "Case", "Title"), "Name"), (("", "Case", "Title"), "Case"), (("", None, "Title"), "Title"), ((None, None, ""), "a.pdf")):
+        assert {r["file_name"]: r["title"] for r in registry.titled(asked, named(*names)).collect()} == {"a.pdf": want, "z.pdf": "z.pdf"}
+    assert registry.load(spark.createDataFrame([tuple(None if i == 7 else v for i, v in enumerate(row))], schema)).first()["source_kind"] == "court_pdf"
     assert registry.browse(rows, year="2020", court="", source_kind="court_pdf").count() == 1 and registry.browse(rows, year=2019).count() == 0
 
 
@@ -159,8 +165,137 @@ def test_stream_goes_on_where_it_stopped(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out/accepted")).count() == 2
 
 
-def test_registry_and_gold_files(spark, tmp_path):
-    (tmp_path / "m.json").write_text('{"documents": [{"document_id": "' + "A" * 64 + '", "local_filename": "a.pdf", "year": 2020}]}')
-    assert files.registry(spark, str(tmp_path / "m.json")).first()["document_id"] == "a" * 64
-    (tmp_path / "g.json").write_text('{"questions": [{"question_id": "q", "question": "?", "expected_document_ids": ["d"]}]}')
-    assert files.gold(spark, str(tmp_path / "g.json")).count() == 1
+def manifest(n_pdf=14, n_html=6):
+    """Rows of a manifest's shape: the id is called sha256, scans name no kind."""
+    rows = []
+    for k in range(n_pdf + n_html):
+        row = {"id": f"d{k}", "title": f"Opinion {k}", "court": "Chancery", "jurisdiction": "DE", "case_name": f"Case {k}", "docket_number": f"No. {k}", "year": 2000 + k, "legal_topic": "mergers", "source_url": f"https://e.org/{k}", "local_filename": f"{k}.pdf", "sha256": f"{k:064X}", "display_name": f"Name {k}", "notes": None}
+        if k >= n_pdf:
+            row |= {"source_kind": "sec_html", "local_filename": f"{k}.html", "company_name": "Co", "form_type": "8-K", "accession_number": "1-2", "filing_date": "2020-01-02", "exhibit_identity": "EX-2.1"}
+        rows.append(row)
+    return json.dumps({"manifest_version": "1.0", "documents": rows}, indent=1)
+
+
+def test_registry_and_gold_files(spark, tmp_path, capsys):
+    path = tmp_path / "m.json"
+    path.write_text(manifest())
+    rows = registry.load(files.registry(spark, str(path)))
+    assert rows.count() == 20 and rows.groupBy("source_kind").count().where("source_kind = 'court_pdf'").first()["count"] == 14
+    assert rows.where(F.col("document_id") == f"{10:064x}").first()["display_name"] == "Name 10"
+    digest = hashlib.sha256(path.read_bytes()).hexdigest()[:12]
+    assert files.manifest_digest(spark, str(path)) == digest
+    from argparse import Namespace
+
+    from docmill import cli
+
+    assert cli._validate(spark, Namespace(manifest=str(path), check_urls=False, user_agent="")) == 0
+    assert f"20 public sources are valid (manifest {digest})" in capsys.readouterr().out
+    (tmp_path / "g.json").write_text('{"benchmark_version": "v1", "questions": [{"question_id": "q2", "question": "?", "expected_document_ids": ["d"]}, {"question_id": "q1", "question": "?", "expected_document_ids": ["d"]}]}')
+    assert [(r["question_id"], r["position"]) for r in files.gold(spark, str(tmp_path / "g.json")).orderBy("position").collect()] == [("q2", 0), ("q1", 1)]
+    (tmp_path / "bad.json").write_text('{"benchmark_version": "v1", "questions": [{"question_id": "q", "question": "?", "expected_document_ids": []}]}')
+    with pytest.raises(ValueError):
+        files.gold(spark, str(tmp_path / "bad.json"))
+
+
+def test_layout_run_isolates_failures_and_keeps_other_runs(spark, tmp_path):
+    calls = str(tmp_path / "calls")
+
+    def raw_page(text):
+        region = [{"page_number": 1, "polygon": [0.0, 1.0, 1.0, 1.0]}]
+        paragraph = {"seq": 0, "text": text, "role": "text", "page_number": 1, "source_anchor": None, "source_start": 0, "source_end": len(text), "bounding_regions": region}
+        return {"model_id": "m", "api_version": "v", "pages": [{"page_number": 1, "width": 8.5, "height": 11.0, "unit": "inch"}], "paragraphs": [paragraph], "tables": []}
+
+    def analyze(content):
+        text = content[4:].decode()
+        with open(calls, "a") as f:
+            f.write(text + "\n")
+        if text == "busy" and open(calls).read().split().count("busy") < 2:
+            raise ConnectionError
+        if text == "broken":
+            raise KeyError("x")
+        return raw_page("" if text == "blank" else text)
+
+    heads = {"a.pdf": b"%PDFgood", "b.pdf": b"%PDFbusy", "c.pdf": b"%PDFbroken", "d.pdf": b"%PDFblank", "e.txt": b"x", "f.pdf": b"nope", "g.pdf": b""}
+    df = spark.createDataFrame([(k, bytearray(v)) for k, v in heads.items()], "ref string, content binary").coalesce(1)
+    got = {r["source_file"]: r for r in pipeline.ingest_layout(spark, df, analyze, str(tmp_path / "out"), "r1").collect()}
+    assert {k: r["error"] for k, r in got.items()} == {"a.pdf": None, "b.pdf": None, "c.pdf": "KeyError", "d.pdf": "SemanticValidationError", "e.txt": "UnsupportedFormatError", "f.pdf": "SignatureMismatchError", "g.pdf": "EmptyContentError"}
+    assert got["a.pdf"]["page_count"] == 1 and got["a.pdf"]["processing_duration_seconds"] >= 0 and got["a.pdf"]["output_path"].endswith("run_id=r1") and got["c.pdf"]["document_id"] and got["e.txt"]["document_id"] is None
+    asked = open(calls).read().split()
+    assert asked.count("busy") == 2 and asked.count("good") == 1
+    pipeline.ingest_layout(spark, df.where("ref = 'a.pdf'"), analyze, str(tmp_path / "out"), "r2")
+    records = files.records(spark, str(tmp_path / "out/records"))
+    assert {r["ref"]: r["run_id"] for r in records.collect()} == {"a.pdf": "r2", "b.pdf": "r1"}
+    assert records.where("ref = 'a.pdf'").first()["elements"][0]["bounding_regions"][0]["polygon"] == [0.0, 1.0, 1.0, 1.0]
+
+
+def test_evaluation_run_resumes_in_order(spark, tmp_path):
+    chunk = [("c1", "d1", "T", ["S"], 1, 1, None, None, None, "the deal price is fair"), ("c2", "d2", "T", ["S"], 2, 2, None, None, None, "nothing about that here")]
+    chunks = spark.createDataFrame(chunk, "chunk_id string, document_id string, document_title string, section_path array<string>, page_start int, page_end int, source_anchor string, source_start int, source_end int, text string")
+    ids = chunks.select(F.xxhash64("chunk_id").alias("id"), "text")
+    vectors = models.embed(ids, models.hashed_embedder(), "text").select("id", "v")
+    index = hybrid.Index.build(ids, vectors, str(tmp_path / "ix"))
+    known = spark.createDataFrame([("d1", "https://e.org/a.pdf", "court_pdf", None)], "document_id string, source_url string, source_kind string, accession_number string")
+    (tmp_path / "g.json").write_text(json.dumps({"benchmark_version": "v1", "questions": [{"question_id": q, "question": "the deal price", "expected_document_ids": [doc]} for q, doc in (("z", "d1"), ("a", "d9"), ("m", "d2"))]}))
+    gold = files.gold(spark, str(tmp_path / "g.json"))
+    seen = tmp_path / "seen"
+
+    def completer(system, prompt):
+        assert answer.REFUSAL in system and "Question:" in prompt
+        with open(seen, "a") as f:
+            f.write("x")
+        return "It is fair [1]."
+
+    waits = []
+    out = str(tmp_path / "report")
+    report = pipeline.evaluate_run(spark, index, chunks, known, gold, models.hashed_embedder(), completer, out, 2, 2, 45.0, waits.append)
+    assert [r["question_id"] for r in report["question_results"]] == ["z", "a", "m"] and waits == [45.0]
+    assert report["metrics"]["retrieval_hit_rate_at_k"] == pytest.approx(2 / 3) and report["corpus_document_count"] == 3
+    n = len(seen.read_text())
+    again = pipeline.evaluate_run(spark, index, chunks, known, gold, models.hashed_embedder(), completer, out, 2)
+    assert again["question_results"] == report["question_results"] and len(seen.read_text()) == n
+    with pytest.raises(ValueError, match="another benchmark"):
+        pipeline.evaluate_run(spark, index, chunks, known, gold, models.hashed_embedder(), completer, out, 3)
+    with pytest.raises(ValueError):
+        pipeline.evaluate_run(spark, index, chunks, known, gold, models.hashed_embedder(), completer, out, 2, interval=-1)
+    assert json.loads(spark.read.text(out).first()["value"])["benchmark_version"] == "v1"
+
+
+def test_vectors_of_odd_rows(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.5, 0.5]), (3, None), (4, []), (5, [1.0, None]), (6, [float("nan"), 1.0]), (None, [1.0, 0.0]), (7, [1.0, 0.0, 0.0]), (8, [0.0, 0.0])], "id long, v array<float>")
+    assert vector.cosine_top_k(rows, rows.limit(0), 3).count() == 0
+    got = sorted((r["query"], r["rank"], r["doc"]) for r in vector.cosine_top_k(rows, rows, 1).collect())
+    assert got == [(1, 1, 1), (2, 1, 2), (7, 1, 7), (8, 1, 1)]
+
+
+def test_settings_logs_and_embedding_rules(spark, tmp_path):
+    import io
+
+    from docmill import config, logs
+
+    assert config.storage_root(config.Settings.load({"DOCMILL_DATA_DIR": "x"})) == "x"
+    assert config.storage_root(config.Settings(storage="object_store", object_store_uri="s3a://b/p/")) == "s3a://b/p"
+    for bad in ({"storage": "tape"}, {"storage": "object_store"}, {"search": "remote"}, {"search": "none"}):
+        with pytest.raises(ValueError):
+            config.Settings(**bad)
+    with pytest.raises(ValueError, match="unknown"):
+        config.Settings.load({"DOCMILL_COLOUR": "red"})
+    out = io.StringIO()
+    log = logs.logger("docmill.test", stream=out)
+    with logs.context(run_id="r"):
+        log.info("said %d", 3, extra={"ref": "a"})
+    line = json.loads(out.getvalue())
+    assert (line["message"], line["run_id"], line["ref"], line["level"]) == ("said 3", "r", "a", "INFO") and out.getvalue().count("\n") == 1
+    asked = []
+    told = models.embed_texts(list("abc"), lambda t: asked.append(t) or [[1.0]] * len(t), initial=[[9.0]])
+    assert told == [[9.0], [1.0], [1.0]] and asked == [["b", "c"]]
+    with pytest.raises(ValueError, match="initial"):
+        models.embed_texts(["a"], lambda t: [], initial=[[1.0], [2.0]])
+    for k, rows in enumerate(([("h", [1.0], 1), ("i", [1.0, 2.0], 1)], [("h", [float("nan")], 1)], [("h", [1.0], 2)])):
+        spark.createDataFrame(rows, "text_hash string, v array<float>, version int").write.parquet(str(tmp_path / str(k)))
+        with pytest.raises(ValueError):
+            files.embeddings(spark, str(tmp_path / str(k)))
+    texts = spark.createDataFrame([(2, "b"), (1, "a")], "pos int, t string")
+    assert files.flat_fingerprint(texts, "pos", "t") == hashlib.sha256(b"a\0b").hexdigest()
+    sinks.replace(texts, str(tmp_path / "t"))
+    sinks.replace(spark.read.parquet(str(tmp_path / "t")).where("pos = 1"), str(tmp_path / "t"))
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 1 and sorted(x.name for x in tmp_path.iterdir() if x.name.startswith("t.")) == []
