@@ -45,8 +45,8 @@ LENGTH = 50
 ANCHOR = 20
 #: Regions held by a task before they are reduced and handed on.
 HELD = 1_000_000
-#: Symbols of one index.
-INDEX = 1 << 20
+#: Symbols of one index, unless one anchor has more.
+INDEX = 1 << 17
 
 def regions(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     """Anchor, digest, owner, start in its text and number of strings of every region."""
@@ -161,6 +161,23 @@ def _resolve(cell: int, kind: int, blobs: list[bytes]) -> Iterator[pa.RecordBatc
         yield rows(doc[ask], version[ask], start[ask], count[ask], anchor[ask])
 
 
+def _suffixes(key: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order by keys, and keys and ends in it. Suffixes that end within the key (ends) and are
+    equal differ only in their texts' ends, which are in the order of texts; other equals may be in any.
+    """
+    order = np.argsort(key)
+    ranked, alone = key[order], ends[order]
+    same = np.zeros(len(key) + 1, bool)
+    same[1:-1] = ranked[1:] == ranked[:-1]
+    tied = np.flatnonzero((same[1:] | same[:-1]) & alone)
+    if len(tied):
+        group = np.cumsum(~same[:-1])[tied]
+        both = group << 32 | order[tied]
+        both.sort()
+        order[tied] = both & 0xFFFFFFFF
+    return order, ranked, alone
+
+
 def repeated(data: np.ndarray, offsets: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Marks the positions of texts where a LENGTH-byte string starts that a smaller document has.
 
@@ -174,24 +191,22 @@ def repeated(data: np.ndarray, offsets: np.ndarray, doc: np.ndarray) -> np.ndarr
     key = np.zeros(n, U)
     for j in range(7):
         key = key << U(9) | np.where(left > j, s[j : j + n], U(0))
-    order = np.argsort(key, kind="stable")
-    ranked, alone = key[order], left[order] < 7
+    order, ranked, alone = _suffixes(key, left < 7)
     new = np.ones(n, bool)
     new[1:] = (ranked[1:] != ranked[:-1]) | alone[1:]
-    rank = np.empty(n, np.int64)
-    rank[order] = np.cumsum(new)
+    rank = np.empty(n, np.int32)
+    rank[order] = np.cumsum(new, dtype=np.int32)
     levels = [(7, rank)]
     step = 7
     while not new.all():
         beyond = np.zeros(n, np.int64)
         beyond[: n - step] = rank[step:]
-        pair = rank << 32 | np.where(left > step, beyond, 0)
-        order = np.argsort(pair, kind="stable")
-        ranked, alone = pair[order], left[order] <= step
+        pair = rank.astype(np.int64) << 32 | np.where(left > step, beyond, 0)
+        order, ranked, alone = _suffixes(pair, left <= step)
         new = np.ones(n, bool)
         new[1:] = (ranked[1:] != ranked[:-1]) | alone[1:]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new)
+        rank = np.empty(n, np.int32)
+        rank[order] = np.cumsum(new, dtype=np.int32)
         step *= 2
         levels.append((step, rank))
     # the transform and its runs; a text's first suffix ends a run of its own
