@@ -102,7 +102,7 @@ def distinct(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nda
     return h[new], np.diff(np.concatenate(([0], np.cumsum(new)))[np.concatenate(([0], np.cumsum(counts)))])
 
 
-def signatures(hashes: np.ndarray, counts: np.ndarray, size: int, seed: int = 11, step: int = 1 << 15) -> np.ndarray:
+def signatures(hashes: np.ndarray, counts: np.ndarray, size: int, seed: int = 11, step: int = 1 << 16) -> np.ndarray:
     """MinHash: per text `size` minima of independently permuted hashes, each cut to 16 bits.
 
     Texts without hashes get zeros. Hashes may repeat within a text.
@@ -112,7 +112,7 @@ def signatures(hashes: np.ndarray, counts: np.ndarray, size: int, seed: int = 11
     full = np.flatnonzero(counts)
     if not len(full):
         return out
-    one, two = (constants(k, size).astype(np.uint32) | np.uint32(1) for k in (seed, seed + 1))
+    factors = constants(seed, size).astype(np.uint32) | np.uint32(1)
     low, high = hashes.astype(np.uint32), (hashes >> U(32)).astype(np.uint32)
     at = (np.cumsum(counts) - counts)[full]
     least = np.full((len(full), size), 0xFFFFFFFF, np.uint32)
@@ -121,12 +121,10 @@ def signatures(hashes: np.ndarray, counts: np.ndarray, size: int, seed: int = 11
         b = min(a + step, len(low))
         i, j = np.searchsorted(at, a, "right") - 1, np.searchsorted(at, b, "left")
         cuts = np.maximum(at[i:j], a) - a
-        x, y = low[a:b], high[a:b]
-        v, w = np.empty_like(x), np.empty_like(x)
-        for k in range(size):  # a linear function of both halves of the hash
-            np.multiply(x, one[k], out=v)
-            np.multiply(y, two[k], out=w)
-            v += w
+        v, y = low[a:b].copy(), high[a:b]
+        for k in range(size):  # linear functions of both halves of the hash, each from the one before
+            v *= factors[k]
+            v += y
             m = np.minimum.reduceat(v, cuts)
             np.minimum(least[i:j, k], m, out=least[i:j, k])
     out[full] = ((least ^ (least >> np.uint32(16))) & np.uint32(0xFFFF)).astype(np.uint16)
