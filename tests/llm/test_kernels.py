@@ -240,3 +240,20 @@ def test_pseudonyms_keep_format_and_links():
 def test_feistel_is_a_permutation():
     for size in (1, 2, 10, 97, 1000):
         assert sorted(pii.permute(x, size, b"k", "t") for x in range(size)) == list(range(size))
+
+
+def test_signatures_estimate_similarity():
+    size, shared, n = 70, 60, 20_000  # 60 of 80 hashes are common: 0.75
+    h = np.random.default_rng(5).integers(0, 2**64, (n, 2 * size - shared), dtype=np.uint64)
+    left, right = (shingles.signatures(np.ascontiguousarray(x).ravel(), np.full(n, size), 48) for x in (h[:, :size], h[:, size - shared :]))
+    differ = (left != right).sum(axis=1)
+    assert abs(differ.mean() - 12) < 0.1 and abs(differ.std() - 3) < 0.1
+    assert (differ > neardup.DISTANCE).sum() <= 3 * n // 10_000
+
+
+def test_signatures_do_not_depend_on_blocks():
+    rng = np.random.default_rng(6)
+    counts = np.array([0, 1, 500, 3, 0, 4000, 2])
+    h = rng.integers(0, 2**64, int(counts.sum()), dtype=np.uint64)
+    whole = shingles.signatures(h, counts, 48)
+    assert (whole == shingles.signatures(h, counts, 48, step=64)).all() and not whole[0].any() and whole[1].any()
