@@ -17,6 +17,10 @@ one machine, so the corpus is first dealt into parts that can share strings at a
    texts for the rest (within a run each step back adds one symbol to a match). Suffixes
    whose matches reach LENGTH form intervals; those not of the smallest document of their
    interval are marked.
+4. An anchor with more than INDEX symbols (a line of very many documents, between texts that
+   differ) would make one index that grows with the table. Its regions are cut again by
+   longer anchors (LONGER), under which most of its strings are equal or alone; steps 2 and 3
+   hold for those as for the others, within the task.
 
 Nothing is dropped or sampled. A region that occurs in very many documents is one row per
 task after step 2.
@@ -38,29 +42,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmill.llm.cells import BLOBS, batch_of, cells_for, cut, meet, pack, unpack
-from docmill.llm.common import U, as_binary, column, mix, partitions, range_hashes, stage, texts, utf8, windows
+from docmill.llm.common import U, as_binary, blocks, column, constants, mix, partitions, range_hashes, stage, texts, utf8, windows
 from docmill.session import table
 
 LENGTH = 50
 ANCHOR = 20
 #: Regions held by a task before they are reduced and handed on.
 HELD = 1_000_000
-#: Symbols of one index, unless one anchor has more.
-INDEX = 1 << 17
+#: Symbols of one index, unless one anchor has more under the last of LONGER.
+INDEX = 1 << 16
+#: Bytes of the anchors by which the regions of a crowded anchor are cut again, one after the other.
+LONGER = (40, 47)
+#: Text bytes of one step; its arrays of 8 bytes a position fit a core's cache.
+BLOCK = 1 << 16
 
-def regions(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+
+def regions(data: np.ndarray, offsets: np.ndarray, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
     """Anchor, digest, owner, start in its text and number of strings of every region."""
     n = len(data)
     none = np.zeros(0, np.int64)
     if n < LENGTH:
         return none.astype(U), none.astype(U), none, none, none
     x = windows(data)
-    m = n - ANCHOR + 1
-    g = x[:m] * U(0x9E3779B97F4A7C15) + x[8 : 8 + m] * U(0xC2B2AE3D27D4EB4F) + x[ANCHOR - 8 : ANCHOR - 8 + m] * U(0x165667B19E3779F9)
+    m = n - anchor + 1
+    g = np.zeros(m, U)
+    for j, factor in zip((*range(0, anchor - 8, 8), anchor - 8), constants(9, LENGTH), strict=False):
+        g += x[j : j + m] * factor
     g ^= g >> U(29)
     g *= U(0xBF58476D1CE4E5B9)
     g ^= g >> U(32)
-    width, step = LENGTH - ANCHOR + 1, 1
+    width, step = LENGTH - anchor + 1, 1
     while 2 * step <= width:
         g = np.minimum(g[: len(g) - step], g[step:])
         step *= 2
@@ -94,6 +105,27 @@ def _owners(anchor: np.ndarray, digest: np.ndarray, doc: np.ndarray) -> tuple[np
     return order, opens, own == least
 
 
+def _settle(anchor: np.ndarray, digest: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order by anchor, digest and document; which in it equal a smaller document's; which need an index."""
+    order, opens, least = _owners(anchor, digest, doc)
+    anchor, doc = anchor[order], doc[order]
+    # anchors with several regions, not all of one document
+    first = np.ones(len(anchor), bool)
+    first[1:] = anchor[1:] != anchor[:-1]
+    group = np.cumsum(first) - 1
+    head = np.flatnonzero(first)
+    several = np.add.reduceat(opens.astype(np.int64), head) > 1
+    docs = np.where(least, doc, doc[np.flatnonzero(opens)][np.cumsum(opens) - 1])
+    several &= np.minimum.reduceat(docs, head) < np.maximum.reduceat(docs, head)
+    return order, ~least, several[group] & least
+
+
+def _taken(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of ranges one after the other, and their offsets."""
+    at = np.concatenate(([0], np.cumsum(size)))
+    return data[np.repeat(begin - at[:-1], size) + np.arange(int(at[-1]))], at
+
+
 def _spread(cells: int):
     """Rows (cell, kind, blob): regions for their anchor's cell (kind 0), marked ones for any (kind 1)."""
 
@@ -115,7 +147,7 @@ def _spread(cells: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for rows, data, offsets in texts(batches, "text"):
+        for rows, data, offsets in texts(batches, "text", BLOCK):
             ids, versions = (column(rows, c).to_numpy() for c in ("doc_id", "version"))
             anchor, digest, owner, start, count = regions(data, offsets)
             if not len(anchor):
@@ -143,20 +175,10 @@ def _resolve(cell: int, kind: int, blobs: list[bytes]) -> Iterator[pa.RecordBatc
             yield rows(*unpack(blob, 4), None)
         return
     doc, version, anchor, digest, start, count = (np.concatenate(x) for x in zip(*(unpack(b, 6) for b in blobs), strict=True))
-    order, opens, least = _owners(anchor, digest, doc)
+    order, gone, ask = _settle(anchor, digest, doc)
     anchor, doc, version, start, count = (x[order] for x in (anchor, doc, version, start, count))
-    gone = ~least
     if gone.any():
         yield rows(doc[gone], version[gone], start[gone], count[gone], None)
-    # anchors with several regions, not all of one document
-    first = np.ones(len(anchor), bool)
-    first[1:] = anchor[1:] != anchor[:-1]
-    group = np.cumsum(first) - 1
-    head = np.flatnonzero(first)
-    several = np.add.reduceat(opens.astype(np.int64), head) > 1
-    docs = np.where(least, doc, doc[np.flatnonzero(opens)][np.cumsum(opens) - 1])
-    several &= np.minimum.reduceat(docs, head) < np.maximum.reduceat(docs, head)
-    ask = several[group] & least
     if ask.any():
         yield rows(doc[ask], version[ask], start[ask], count[ask], anchor[ask])
 
@@ -247,65 +269,96 @@ def repeated(data: np.ndarray, offsets: np.ndarray, doc: np.ndarray) -> np.ndarr
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, doc_id, start, said) of the regions asked for."""
-    for rows, data, offsets in texts(batches, "text"):
+    for rows, data, offsets in texts(batches, "text", BLOCK):
         asked = column(rows, "asked")
         counts = asked.value_lengths().to_numpy()
         flat = asked.flatten()
         key, start, n = (flat.field(k).to_numpy() for k in range(3))
         owner = np.repeat(np.arange(len(counts)), counts)
-        size = n + LENGTH - 1
-        at = np.cumsum(size) - size
-        place = np.repeat(offsets[:-1][owner] + start - at, size) + np.arange(int(size.sum()))
+        said = as_binary(*_taken(data, offsets[:-1][owner] + start, n + LENGTH - 1))
         ids = [pa.array(column(rows, c).to_numpy()[owner]) for c in ("doc_id", "version")]
-        yield pa.RecordBatch.from_arrays([pa.array(key), *ids, pa.array(start), as_binary(data[place], np.append(at, size.sum()))], names=["key", "doc_id", "version", "start", "said"])
+        yield pa.RecordBatch.from_arrays([pa.array(key), *ids, pa.array(start), said], names=["key", "doc_id", "version", "start", "said"])
+
+
+def _cut_again(data: np.ndarray, offsets: np.ndarray, doc: np.ndarray, longer: tuple[int, ...]) -> tuple[np.ndarray, ...]:
+    """_marked() of the regions of one anchor by the first of longer anchors."""
+    found = []
+    for a, b in blocks(offsets, BLOCK):
+        anchor, digest, owner, start, count = regions(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], longer[0])
+        found.append((anchor, digest, owner + a, start, count))
+    anchor, digest, owner, start, count = (np.concatenate(x) for x in zip(*found, strict=True))
+    order, gone, ask = _settle(anchor, digest, doc[owner])
+    k, rest = order[gone], order[ask]
+    out = [(owner[k], start[k], count[k])]
+    if len(rest):
+        anchor, owner, start, count = (x[rest] for x in (anchor, owner, start, count))
+        text, at, n = _marked(*_taken(data, offsets[owner] + start, count + LENGTH - 1), doc[owner], anchor, longer[1:])
+        out.append((owner[text], start[text] + at, n))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _marked(data: np.ndarray, offsets: np.ndarray, doc: np.ndarray, key: np.ndarray, longer: tuple[int, ...] = LONGER) -> tuple[np.ndarray, ...]:
+    """Text, start in it and number of the strings that a smaller document has. Texts are in order of
+    their anchors (key); an index holds whole anchors, up to INDEX symbols.
+    """
+    first = np.ones(len(key), bool)
+    first[1:] = key[1:] != key[:-1]
+    bounds = np.append(np.flatnonzero(first), len(key))
+    total = offsets[bounds]
+    out, g = [], 0
+    while g < len(bounds) - 1:
+        # strings of different anchors differ, so one index may hold many anchors
+        stop = max(g + 1, int(np.searchsorted(total, total[g] + INDEX, "right")) - 1)
+        a, b = bounds[g], bounds[stop]
+        part = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], doc[a:b]
+        if longer and total[stop] - total[g] > INDEX:
+            text, start, n = _cut_again(*part, longer)
+        else:
+            marked = repeated(*part)
+            opens = marked.copy()
+            opens[1:] &= ~marked[:-1]
+            opens[part[1][:-1]] = marked[part[1][:-1]]
+            at = np.flatnonzero(opens)
+            sums = np.concatenate(([0], np.cumsum(marked)))
+            text = np.searchsorted(part[1], at, "right") - 1
+            start, n = at - part[1][text], sums[np.append(at[1:], len(marked))] - sums[at]
+        out.append((text + a, start, n))
+        g = stop
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Indexes whole anchors, about INDEX symbols at a time; yields marked (doc_id, start, n)."""
+    """Indexes whole anchors, which follow each other; yields marked (doc_id, start, n)."""
 
-    def mark(t: pa.Table) -> pa.RecordBatch:
-        t = t.combine_chunks()
-        data, offsets = utf8(t.column("said"))
-        doc, version, start = (t.column(c).to_numpy() for c in ("doc_id", "version", "start"))
-        # strings of different anchors differ, so one index may hold many anchors
-        marked = repeated(data, offsets, doc)
-        opens = marked.copy()
-        opens[1:] &= ~marked[:-1]
-        opens[offsets[:-1]] = marked[offsets[:-1]]
-        at = np.flatnonzero(opens)
-        total = np.concatenate(([0], np.cumsum(marked)))
-        owner = np.searchsorted(offsets, at, "right") - 1
-        stop = np.append(at[1:], len(data))
-        return pa.RecordBatch.from_arrays([pa.array(doc[owner]), pa.array(version[owner]), pa.array(start[owner] + at - offsets[owner]), pa.array(total[stop] - total[at])], names=["doc_id", "version", "start", "n"])
-
-    held, size = [], 0
+    def mark(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).combine_chunks()
+        doc, version, start, key = (t.column(c).to_numpy() for c in ("doc_id", "version", "start", "key"))
+        text, at, n = _marked(*utf8(t.column("said")), doc, key)
+        return pa.RecordBatch.from_arrays([pa.array(doc[text]), pa.array(version[text]), pa.array(start[text] + at), pa.array(n)], names=["doc_id", "version", "start", "n"])
+
+    held, size, last = [], 0, None
     for batch in batches:
         if not batch.num_rows:
             continue
-        data, _ = utf8(column(batch, "said"))
+        key = column(batch, "key").to_numpy()
+        opens = np.flatnonzero(np.append(key[0] != last, key[1:] != key[:-1]))  # where a new anchor begins
+        last = key[-1]
         held.append(batch)
-        size += len(data)
-        if size < INDEX:
+        size += len(utf8(column(batch, "said"))[0])
+        if size < INDEX or not len(opens):
             continue
-        t = pa.Table.from_batches(held).combine_chunks()
-        key = t.column("key").to_numpy()
-        lengths = np.diff(utf8(t.column("said"))[1])
-        ends = np.flatnonzero(key[1:] != key[:-1]) + 1  # where a new anchor begins
-        at, total = 0, np.concatenate(([0], np.cumsum(lengths)))
-        while True:
-            far = ends[(ends > at) & (total[ends] - total[at] >= INDEX)]
-            if not len(far):
-                break
-            yield mark(t.slice(at, int(far[0]) - at))
-            at = int(far[0])
-        held, size = t.slice(at).to_batches(), int(total[-1] - total[at])
+        whole, rest = batch.slice(0, int(opens[-1])), batch.slice(int(opens[-1]))
+        held[-1] = whole
+        if sum(x.num_rows for x in held):
+            yield mark(held)
+        held, size = [rest], len(utf8(column(rest, "said"))[0])
     if held:
-        yield mark(pa.Table.from_batches(held))
+        yield mark(held)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What is left of each text."""
-    for rows, data, offsets in texts(batches, "text"):
+    for rows, data, offsets in texts(batches, "text", BLOCK):
         marked = column(rows, "marked")
         counts = marked.value_lengths().fill_null(0).to_numpy()
         flat = marked.flatten()

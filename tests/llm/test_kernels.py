@@ -4,6 +4,7 @@ import base64
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -95,6 +96,30 @@ def test_regions_cover_every_string_once():
         assert sorted(x for s, c in zip(start[own], count[own], strict=True) for x in range(s, s + c)) == list(range(max(0, len(t) - 49)))
 
 
+def test_crowded_anchors_fit_small_indexes(monkeypatch):
+    # a line of every document, between texts that differ: its edges are regions of few anchors
+    rnd = random.Random(11)
+    line = bytes(rnd.choice(b"abcdefgh ") for _ in range(70))
+    ends = [bytes(rnd.choice(b"stuvwxyz ") for _ in range(40)) for _ in range(160)]
+    texts = [ends[rnd.randrange(160)] + line + ends[rnd.randrange(160)] for _ in range(300)]
+    data, offsets = packed(texts)
+    docs = np.array([rnd.randrange(250) for _ in texts])
+    anchor, _, owner, start, count = substrings.regions(data, offsets)
+    order = np.argsort(anchor, kind="stable")
+    rows = [(int(anchor.view(np.int64)[k]), int(docs[owner[k]]), int(owner[k]), int(start[k]), texts[owner[k]][start[k] : start[k] + count[k] + 49]) for k in order]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(("key", "doc_id", "version", "start", "said"), r, strict=True)) for r in rows[i : i + 37]]) for i in range(0, len(rows), 37)]
+    sizes, repeated = [], substrings.repeated
+    monkeypatch.setattr(substrings, "INDEX", 3000)
+    monkeypatch.setattr(substrings, "repeated", lambda data, *a: sizes.append(len(data)) or repeated(data, *a))
+    got = [[False] * len(t) for t in texts]
+    for batch in substrings._index(iter(batches)):
+        for r in batch.to_pylist():
+            for i in range(r["start"], r["start"] + r["n"]):
+                got[r["version"]][i] = True
+    assert got == brute_marks(texts, docs.tolist())
+    assert np.bincount(np.unique(anchor, return_inverse=True)[1], count + 49).max() > 9000 and 0 < max(sizes) <= 3000
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.tuples(st.integers(-(2**63), 2**63 - 1), st.integers(0, 2**64 - 1), st.integers(0, 1)), max_size=20))
 def test_packing_round_trip(rows):
