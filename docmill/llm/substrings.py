@@ -280,8 +280,20 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(key), *ids, pa.array(start), said], names=["key", "doc_id", "version", "start", "said"])
 
 
+def _runs(text: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces of texts in order, those that follow each other without a gap as one."""
+    order = np.lexsort((start, text))
+    text, start, count = text[order], start[order], count[order]
+    opens = np.ones(len(order), bool)
+    opens[1:] = (text[1:] != text[:-1]) | (start[1:] != start[:-1] + count[:-1])
+    first = np.flatnonzero(opens)
+    return text[first], start[first], np.add.reduceat(count, first)
+
+
 def _cut_again(data: np.ndarray, offsets: np.ndarray, doc: np.ndarray, longer: tuple[int, ...]) -> tuple[np.ndarray, ...]:
-    """_marked() of the regions of one anchor by the first of longer anchors."""
+    """_marked() of the regions of one anchor by the first of longer anchors. What that cuts apart is
+    joined again, or a text's rows would be as many as its shorter regions.
+    """
     found = []
     for a, b in blocks(offsets, BLOCK):
         anchor, digest, owner, start, count = regions(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], longer[0])
@@ -294,7 +306,7 @@ def _cut_again(data: np.ndarray, offsets: np.ndarray, doc: np.ndarray, longer: t
         anchor, owner, start, count = (x[rest] for x in (anchor, owner, start, count))
         text, at, n = _marked(*_taken(data, offsets[owner] + start, count + LENGTH - 1), doc[owner], anchor, longer[1:])
         out.append((owner[text], start[text] + at, n))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+    return _runs(*(np.concatenate(x) for x in zip(*out, strict=True)))
 
 
 def _marked(data: np.ndarray, offsets: np.ndarray, doc: np.ndarray, key: np.ndarray, longer: tuple[int, ...] = LONGER) -> tuple[np.ndarray, ...]:

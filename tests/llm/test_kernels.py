@@ -120,6 +120,37 @@ def test_crowded_anchors_fit_small_indexes(monkeypatch):
     assert np.bincount(np.unique(anchor, return_inverse=True)[1], count + 49).max() > 9000 and 0 < max(sizes) <= 3000
 
 
+def test_crowded_anchors_give_a_row_for_each_run(monkeypatch):
+    # one anchor: a line of every document between texts that differ, once and twice in a text
+    rnd = random.Random(13)
+    line = bytes(rnd.choice(b"abcdefgh ") for _ in range(70))
+    ends = [bytes(rnd.choice(b"stuvwxyz ") for _ in range(25)) for _ in range(40)]
+    texts = [rnd.choice(ends) + line + rnd.choice(ends) + (line if k % 7 == 0 else b"") for k in range(250)]
+    data, offsets = packed(texts)
+    docs = np.array([rnd.randrange(200) for _ in texts])
+    monkeypatch.setattr(substrings, "INDEX", 3000)
+    got = list(zip(*(x.tolist() for x in substrings._marked(data, offsets, docs, np.zeros(len(texts), np.int64))), strict=True))
+    runs = []
+    for t, row in enumerate(brute_marks(texts, docs.tolist())):
+        opens = [i for i, x in enumerate(row) if x and not (i and row[i - 1])]
+        runs += [(t, i, next(j for j in range(i, len(row) + 1) if j == len(row) or not row[j]) - i) for i in opens]
+    assert sorted(got) == runs and len({t for t, _, _ in runs}) < len(runs)
+
+
+def test_rows_of_a_crowded_anchor_grow_as_its_regions():
+    # four times the documents with one line: about four times the rows, never more than one a region here
+    rnd = random.Random(17)
+    line = bytes(rnd.choice(b"abcdefgh ") for _ in range(60))
+    made = {}
+    for n in (1500, 6000):
+        texts = [rnd.randbytes(20) + line + rnd.randbytes(20) for _ in range(n)]
+        data, offsets = packed(texts)
+        text, start, count = substrings._marked(data, offsets, np.arange(n), np.zeros(n, np.int64))
+        assert len(data) > substrings.INDEX and (count >= 11).all() and len(np.unique(text)) == n - 1
+        made[n] = len(text)
+    assert made == {1500: 1499, 6000: 5999}
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.tuples(st.integers(-(2**63), 2**63 - 1), st.integers(0, 2**64 - 1), st.integers(0, 1)), max_size=20))
 def test_packing_round_trip(rows):
